@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, fingerprints, idstore, langid, simhash, substring, toxicity
+from millrace.llm import bpe, decontam, fingerprints, idstore, langid, linededup, lm, simhash, substring, toxicity
 from millrace.llm.sampling import fold
 from millrace.llm.shared import scratch
 
@@ -35,6 +35,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup(documents(spark, sf_dir))
+    return kept.select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(False))
+    made = lm.fit_and_score(docs, held)
+    return made.select("doc_id", F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = decontam.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -70,7 +82,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op5_decontaminate, op6_substring, op7_fingerprints, op8_idstore, op9_langid, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_lines, op4_lm, op5_decontaminate, op6_substring, op7_fingerprints, op8_idstore, op9_langid, op10_simhash)}
 #: Words of a text for op6, in DuckDB.
 _OP6 = r"""
 WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
