@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.textops import list_array
+from millrace.llm.textops import list_array, slices
 
 #: A text is cut near multiples of so many characters.
 CUT_CHARS = 1 << 16
@@ -72,7 +72,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding = _encoding(path, pattern)
         for column in columns:
-            found = [np.array(encode_text(encoding, t or ""), dtype=np.int32) for t in column.to_pylist()]
+            found = [np.array(encode_text(encoding, t.as_py() or ""), dtype=np.int32) for t in column]
             values = np.concatenate(found) if found else np.empty(0, np.int32)
             yield list_array(values, [len(x) for x in found], pa.int32())
 
@@ -86,11 +86,9 @@ def decode(ids: Column, path: str) -> Column:
     def raw(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         token = {rank: piece for piece, rank in read_ranks(path).items()}.__getitem__
         for column in columns:
-            values, ends = column.flatten().to_pylist(), np.cumsum([n or 0 for n in column.value_lengths().to_pylist()])
-            out, at = [], 0
-            for end in ends.tolist():
-                out.append(b"".join(map(token, values[at:end])))
-                at = end
+            out = []
+            for a, b in slices([4 * (n or 0) for n in column.value_lengths().to_pylist()]):
+                out += [b"".join(map(token, x or ())) for x in column[a:b].to_pylist()]
             yield pa.array(out, type=pa.binary())
 
     return raw(ids)

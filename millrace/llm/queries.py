@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, fingerprints, idstore, langid, linededup, lm, simhash, substring, toxicity
 from millrace.llm.sampling import fold
-from millrace.llm.shared import scratch
+from millrace.llm.shared import lean, scratch
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,7 @@ END_ID, VOCABULARY = 2, 50_257
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -38,3 +38,10 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name = f"_{name}"
     return name
+
+
+def lean(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand Python workers ``rows`` rows a batch at most: texts are long, and several batches are in memory at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
