@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
-from millrace.llm.shared import partitions, written
-from millrace.llm.textops import ASCII_LOWER, bit_sums, text_bytes
+from millrace.llm.shared import free_name, partitions, written
+from millrace.llm.textops import ASCII_LOWER, Words, bit_sums, text_bytes, window_hashes
 
 #: Fingerprints under one key from which the linear way takes over.
 RUN = 4096
@@ -115,8 +115,8 @@ def links(prints: DataFrame, radius: int = 2, segments: int = 3) -> DataFrame:
     for i, (shift, bits) in enumerate(cuts):
         own = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1))
         some = [own] + [own.bitwiseXOR(F.lit(1 << b)) for b in range(bits if loose else 0)]
-        keys.append(F.transform(F.array(*some), lambda v, i=i: v * F.lit(segments) + F.lit(i)))
-    entered = fp.select("fp", F.explode(F.concat(*keys)).alias("key"))
+        keys += [v * F.lit(segments) + F.lit(i) for v in some]
+    entered = fp.select("fp", F.explode(F.array(*keys)).alias("key"))
     counts = entered.groupBy("key").count().where("count > 1")
     exact = radius == 2
     shared = entered.join(counts.where(f"count <= {RUN}") if exact else counts, "key").select("key", "fp")
@@ -182,3 +182,88 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group = member.groupBy("component").agg(F.min("low").alias("component_id"))
     label = member.join(group, "component").select("fp", "component_id")
     return marks.join(label, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Distinct texts of one fingerprint component that a task compares at most; larger ones are cut into pairs of chunks.
+CHUNK = 512
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of ``words`` words, of lower-cased (A-Z) words; of fewer words, the whole sequence."""
+    own = Words([text.encode().translate(ASCII_LOWER)])
+    return np.unique(window_hashes(own.hashes(), min(words, max(1, len(own)))))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared share of two sorted sets; two empty ones are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 8, segments: int = 3, check_words: int = 5, similar: float = 0.8) -> DataFrame:
+    """(text_key, keep_id, keep_key) for every distinct text: the document that stays of its group.
+
+    Distinct texts are linked if their fingerprints are within ``radius`` bits
+    (found by pigeonring filtering) and the Jaccard similarity of their shingles of
+    ``check_words`` words is at least ``similar``. text_key is xxhash64 of the text
+    (null: of nothing); of each connected group the row with the least (id, key)
+    stays, null ids first. Wordless texts are alike; the empty table has no groups.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), fingerprint(F.col(text_col), words).alias("fp"))
+    nodes = written(rows.groupBy("text_key", "fp").agg(F.min(F.struct("doc_id")).alias("low")), "texts")
+    joined = components(links(nodes, radius, segments)).withColumnRenamed("node", "fp")
+    placed = nodes.select("text_key", "fp").join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    sizes = placed.groupBy("component").count().where("count > 1").select("component", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
+    own = F.pmod(F.hash("text_key"), F.col("chunks"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(own, j) * F.col("chunks") + F.greatest(own, j))
+    wanted = written(placed.join(sizes, "component").select("text_key", "fp", "component", pairs.alias("parts")), "wanted")
+    texts = docs.select(F.xxhash64(text_col).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    dealt = texts.join(wanted, "text_key").dropDuplicates(["text_key"]).select("component", F.explode("parts").alias("part"), "text_key", "fp", "text")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, keys, prints, sets = None, [], [], []
+
+        def found():
+            at, left, pairs = np.array(prints, np.int64).view(_U), np.arange(len(keys)), []
+            while len(left):
+                queue, left = [int(left[0])], left[1:]
+                while queue and len(left):
+                    one = queue.pop()
+                    near = np.bitwise_count(at[left] ^ at[one]) <= radius
+                    for k in np.flatnonzero(near).tolist():
+                        near[k] = jaccard(sets[one], sets[left[k]]) >= similar
+                    got = left[near].tolist()
+                    pairs += [(keys[one], keys[x]) for x in got]
+                    queue += got
+                    left = left[~near]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for component, part, key, fp, text in zip(*batch.columns, strict=True):
+                tag = (component.as_py(), part.as_py())
+                if tag != own:
+                    if len(keys) > 1:
+                        yield found()
+                    own, keys, prints, sets = tag, [], [], []
+                keys.append(key.as_py())
+                prints.append(fp.as_py())
+                sets.append(shingle_set(text.as_py(), check_words))
+        if len(keys) > 1:
+            yield found()
+
+    n = partitions(docs.sparkSession)
+    verified = components(dealt.repartition(n, "component", "part").sortWithinPartitions("component", "part", "text_key").mapInArrow(compared, "a long, b long"))
+    group = nodes.join(verified.withColumnsRenamed({"node": "text_key", "component": "group"}), "text_key", "left").select("text_key", F.coalesce("group", "text_key").alias("group"), F.struct(F.col("low.doc_id").alias("keep_id"), F.col("text_key").alias("keep_key")).alias("first"))
+    keep = group.groupBy("group").agg(F.min("first").alias("keep"))
+    return group.join(keep, "group").select("text_key", "keep.keep_id", "keep.keep_key")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without all but one row of each group of ``similar_groups``, columns unchanged."""
+    key, keep_id, keep_key = (free_name(docs, n) for n in ("text_key", "keep_id", "keep_key"))
+    groups = similar_groups(docs, id_col, text_col, **how).withColumnsRenamed({"text_key": key, "keep_id": keep_id, "keep_key": keep_key})
+    rows = docs.withColumn(key, F.xxhash64(text_col)).join(groups, key)
+    stays = (F.col(key) == F.col(keep_key)) & F.col(id_col).eqNullSafe(F.col(keep_id))
+    return rows.where(stays).dropDuplicates([id_col, key]).select(*docs.columns)
