@@ -41,11 +41,11 @@ from millrace.llm.shared import partitions, written
 from millrace.llm.textops import ASCII_LOWER, mix, slices, text_bytes
 
 END = b" "  # no word holds a blank
-TOP, SLOTS, RARE, KNOWN = 4096, 128, 30, 1 << 18
+TOP, SLOTS, RARE, KNOWN = 3072, 96, 30, 1 << 18
 CLASSES = TOP // SLOTS + RARE
 #: Hashed rows of each class feature and of the feature within classes.
 ROWS, INNER_ROWS = 1 << 12, 1 << 12
-ROUNDS, STEP, RATE, TRAINERS_A_CORE = 1, 8192, 0.3, 4
+ROUNDS, STEP, RATE, TRAINERS_A_CORE = 1, 8192, 0.1, 4
 #: Entries of a counting task before it hands them on.
 FLUSH = 1 << 20
 _U = np.uint64
@@ -174,23 +174,31 @@ def feature_rows(codes: np.ndarray, sizes: np.ndarray, of_class: np.ndarray) ->
     return rows, inside.astype(np.int64)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+def _take(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.take(table, rows, axis=0, mode="clip")
+
+
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of logits, capped where float32 would overflow, and its row sums; z is capped in place."""
+    np.minimum(z, 60, out=z)
     e = np.exp(z)
-    s = e.sum(1, keepdims=True)
-    e /= s
-    z -= np.log(s)
-    return e
+    return e, e @ np.ones(z.shape[1], np.float32)
 
 
 def _class_logits(m: Model, rows: np.ndarray) -> np.ndarray:
-    z = m.rows[rows[0]]
+    z = _take(m.rows, rows[0])
     for r in rows[1:]:
-        z += m.rows[r]
+        z += _take(m.rows, r)
     z += m.bias
     return z
 
 
+def _inner_logits(m: Model, classes: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    z = _take(m.bias_in, classes)
+    z += _take(m.rows_in, inside)
+    return z
+
+
 def log_probabilities(m: Model, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 probability of each token, without log10(c + 1) where its code is that of unknown words."""
     rows, inside = feature_rows(codes, sizes, m.of_class)
@@ -198,12 +206,13 @@ def log_probabilities(m: Model, codes: np.ndarray, sizes: np.ndarray) -> np.ndar
     for a in range(0, len(codes), STEP):
         b = min(a + STEP, len(codes))
         z = _class_logits(m, rows[:, a:b])
-        _log_softmax(z)
-        got = z[np.arange(b - a), classes[a:b]].astype(float)
+        total = _exp(z)[1]
+        got = z[np.arange(b - a), classes[a:b]] - np.log(total, dtype=np.float64)
         k = np.flatnonzero(slots[a:b] >= 0)
-        z = m.bias_in[classes[a:b][k]] + m.rows_in[inside[a:b][k]]
-        _log_softmax(z)
-        got[k] += z[np.arange(len(k)), slots[a:b][k]]
+        if len(k):
+            z = _inner_logits(m, classes[a:b][k], inside[a:b][k])
+            total = _exp(z)[1]
+            got[k] += z[np.arange(len(k)), slots[a:b][k]] - np.log(total, dtype=np.float64)
         out[a:b] += got / np.log(10)
     return out
 
@@ -213,8 +222,8 @@ def _descend(table: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.
     sorted_rows = rows[order]
     first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
     own = sorted_rows[first]
-    g = np.add.reduceat(grad[order], first, axis=0)
-    squares[own] += (g * g).mean(1)
+    g = np.add.reduceat(_take(grad, order), first, axis=0)
+    squares[own] += np.einsum("ij,ij->i", g, g) / g.shape[1]
     used[own] += np.diff(np.append(first, len(rows)))
     table[own] -= RATE * g / np.sqrt(squares[own] + 1e-6)[:, None]
 
@@ -227,13 +236,15 @@ def gradient_pass(m: Model, batches: Iterator[tuple[np.ndarray, np.ndarray]], st
         classes, slots = m.of_class[codes], m.slot[codes]
         for a in range(0, len(codes), STEP):
             b = min(a + STEP, len(codes))
-            p = _log_softmax(_class_logits(m, rows[:, a:b]))
+            p, total = _exp(_class_logits(m, rows[:, a:b]))
+            p *= (1 / total)[:, None]
             p[np.arange(b - a), classes[a:b]] -= 1
             for r in rows[:, a:b]:
                 _descend(m.rows, squares, used, r, p)
             k = np.flatnonzero(slots[a:b] >= 0)
             if len(k):
-                p = _log_softmax(m.bias_in[classes[a:b][k]] + m.rows_in[inside[a:b][k]])
+                p, total = _exp(_inner_logits(m, classes[a:b][k], inside[a:b][k]))
+                p *= (1 / total)[:, None]
                 p[np.arange(len(k)), slots[a:b][k]] -= 1
                 _descend(m.rows_in, squares_in, used_in, inside[a:b][k], p)
 
