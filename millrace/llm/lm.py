@@ -45,7 +45,7 @@ TOP, SLOTS, RARE, KNOWN = 3072, 96, 30, 1 << 18
 CLASSES = TOP // SLOTS + RARE
 #: Hashed rows of each class feature and of the feature within classes.
 ROWS, INNER_ROWS = 1 << 12, 1 << 12
-ROUNDS, STEP, RATE, TRAINERS_A_CORE = 1, 8192, 0.1, 4
+ROUNDS, STEP, RATE, TRAINERS_A_CORE = 1, 1 << 15, 0.1, 4
 #: Entries of a counting task before it hands them on.
 FLUSH = 1 << 20
 _U = np.uint64
@@ -217,14 +217,27 @@ def log_probabilities(m: Model, codes: np.ndarray, sizes: np.ndarray) -> np.ndar
     return out
 
 
+def _sum_runs(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows: short ones all at once, row after row; long ones each by itself."""
+    out = _take(x, first)
+    short = np.flatnonzero((size > 1) & (size <= 4))
+    for k in range(1, 4):
+        short = short[size[short] > k]
+        out[short] += _take(x, first[short] + k)
+    for i in np.flatnonzero(size > 4).tolist():
+        out[i] = x[first[i] : first[i] + size[i]].sum(0)
+    return out
+
+
 def _descend(table: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
     order = np.argsort(rows.astype(np.uint16), kind="stable")
     sorted_rows = rows[order]
     first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
     own = sorted_rows[first]
-    g = np.add.reduceat(_take(grad, order), first, axis=0)
+    size = np.diff(np.append(first, len(rows)))
+    g = _sum_runs(_take(grad, order), first, size)
     squares[own] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-    used[own] += np.diff(np.append(first, len(rows)))
+    used[own] += size
     table[own] -= RATE * g / np.sqrt(squares[own] + 1e-6)[:, None]
 
 
