@@ -25,12 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import partitions
-from millrace.llm.textops import slices
 
 #: A block is closed once it holds so many ids or documents.
 BLOCK_IDS, BLOCK_DOCS = 1 << 20, 1 << 16
-#: Entries of the piece cache of a task; it starts anew beyond that.
-CACHE_PIECES = 300_000
+#: Entries of a worker's piece cache, 200 bytes or so each; it starts anew beyond that.
+CACHE_PIECES = 1_500_000
 #: Every so many documents the place of the set bit is kept.
 SELECT_STEP = 256
 
@@ -94,49 +93,72 @@ class EliasFano:
         return (high << self.low_bits) | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1)
 
 
-class PieceEncoder:
-    """Ids of whole texts by a tokenizers file, with a bounded cache of pieces.
-
-    A text is cut before each single space that follows a character other than
-    white space. The byte-level pattern never matches across such a place, so
-    pieces can be encoded apart and kept for the next text.
-    """
+class Pieces(dict):
+    """Ids, as bytes, of pieces that follow a space (the key leaves it out); ``plain`` has those that do not."""
 
     def __init__(self, path: str, dtype: str):
         import os
+        from array import array
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype, self.cache = dtype, {}
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        parts = text.split(" ")
-        out, hold = [parts[0]], not parts[0] or parts[0][-1].isspace()
-        for p in parts[1:]:
-            if hold:  # white space before the space: not a safe place
-                out[-1] += " " + p
-            else:
-                out.append(" " + p)
-            hold = not p or p[-1].isspace()
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian bytes of ``dtype``."""
-        cut = [self._cut(t) if t else [] for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        missing = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in cache]
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, dtype=self.dtype).tobytes()
-        get = cache.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        self.plain: dict[str, bytes] = {}
+        self.code, self.array = {"<u2": "H", "<u4": "I"}[dtype], array
+        self.line_end = self.whole("\n")
+        self.odd = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+    def whole(self, text: str) -> bytes:
+        return self.array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def start(self, piece: str) -> bytes:
+        got = self.plain.get(piece)
+        if got is None:
+            if len(self.plain) >= CACHE_PIECES // 8:
+                self.plain.clear()
+            got = self.plain[piece] = self.whole(piece)
+        return got
+
+    def __missing__(self, piece: str) -> bytes:
+        if "\n" in piece:
+            first, *rest = piece.split("\n")
+            return b"".join([self[first], *(x for p in rest for x in (self.line_end, self.start(p)))])
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        got = self[piece] = self.whole(" " + piece)
+        return got
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text.
+
+        Where no two white-space characters meet, the byte-level pattern matches
+        across neither a space (which opens the match of what follows) nor a line
+        end (a match of its own), so the pieces between can be encoded apart.
+        Other texts go to the library whole.
+        """
+        if self.doubled(text) or not text:
+            return self.whole(text)
+        first, *rest = text.split(" ")
+        lines = first.split("\n")
+        head = self.line_end.join([self.start(p) if p else b"" for p in lines])
+        return head + b"".join(map(self.__getitem__, rest))
+
+    def doubled(self, text: str) -> bool:
+        """Whether white space other than single blanks and line ends may be in a text."""
+        return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in self.odd)
+
+
+def _pieces(path: str, dtype: str) -> Pieces:
+    """One cache for a Python worker, whatever the number of its tasks."""
+    import sys
+    from types import ModuleType
+
+    kept = sys.modules.setdefault("_millrace_pieces", ModuleType("_millrace_pieces")).__dict__
+    if (path, dtype) not in kept:
+        kept[path, dtype] = Pieces(path, dtype)
+    return kept[path, dtype]
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -149,7 +171,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabul
         from pyspark import TaskContext
 
         shard, number = TaskContext.get().partitionId(), 0
-        encoder = PieceEncoder(tokenizer, dtype)
+        encode = _pieces(tokenizer, dtype).encode
         ids, data, total, before = [], [], 0, 0
 
         def block() -> pa.RecordBatch:
@@ -158,15 +180,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabul
             return pa.RecordBatch.from_arrays([*keys, pa.array([ids], pa.list_(pa.int64())), pa.array([EliasFano.of(bounds).dump()], pa.binary()), pa.array([b"".join(data)], pa.binary())], names=names)
 
         for batch in batches:
-            texts, keys = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
-            for a, b in slices([len(t) for t in texts]):
-                for key, coded in zip(keys[a:b], encoder.encode(texts[a:b]), strict=True):
-                    ids.append(key)
-                    data.append(coded + end)
-                    total += len(coded) // width + 1
-                    if total >= BLOCK_IDS or len(ids) >= BLOCK_DOCS:
-                        yield block()
-                        number, before, ids, data, total = number + 1, before + total, [], [], 0
+            for key, text in zip(*(batch.column(i) for i in range(2)), strict=True):
+                ids.append(key.as_py())
+                data.append(encode(text.as_py() or "") + end)
+                total += len(data[-1]) // width
+                if total >= BLOCK_IDS or len(ids) >= BLOCK_DOCS:
+                    yield block()
+                    number, before, ids, data, total = number + 1, before + total, [], [], 0
         if ids:
             yield block()
 
