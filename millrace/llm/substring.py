@@ -18,8 +18,8 @@ passages that can match it:
     (the longest match that ends at each word) of ``WINDOW`` or more mark its
     windows; then the automaton is extended by it.
 4.  Anchors with more than ``HOT`` occurrences and several entries would make an
-    unbounded shard. Their windows are compared one by one by a grouped minimum,
-    which Spark aggregates before it shuffles.
+    unbounded shard. The windows of their entries are compared one by one by a
+    grouped minimum, which Spark aggregates before it shuffles.
 
 Defined results: a null text has no words; documents with a null id are kept
 whole and are no reference; rows of one id do not match each other; equal rows
@@ -182,30 +182,22 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
                 raw = text.encode()
                 words = raw.split()
                 marks = window_hashes(Words([raw]).hashes(), window).view(np.int64) if any(p["kind"] == 2 for p in places) else None
-                rows = {k: [] for k in ("at", "g", "passage", "content", "kind")}
+                rows = {k: [] for k in ("g", "passage", "content", "hashes")}
                 for p in places:
-                    at, n = p["at"], p["n"]
-                    if p["kind"] == 2:
-                        rows["at"] += range(at, at + n)
-                        rows["g"] += [p["g"]] * n
-                        rows["passage"] += marks[at : at + n].tolist()
-                        rows["content"] += [None] * n
-                        rows["kind"] += [2] * n
-                    else:
-                        if len(sent) > 1 << 20:
-                            sent.clear()
-                        tag = (p["g"], p["passage"])
-                        content = None if tag in sent else b" ".join(words[at : at + n + reach])
-                        sent.add(tag)
-                        for k, v in (("at", at), ("g", p["g"]), ("passage", p["passage"]), ("content", content), ("kind", 1)):
-                            rows[k].append(v)
-                n = len(rows["at"])
-                cols = [pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(rows["at"], pa.int32()), pa.array(rows["g"], pa.int64()), pa.array(rows["passage"], pa.int64()), pa.array(rows["content"], pa.binary()), pa.array(rows["kind"], pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "at", "g", "passage", "content", "kind"])
-
-    sent = written(keyed.join(listed, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "text", "places").mapInArrow(passages, "doc_id long, text_key long, at int, g long, passage long, content binary, kind int"), "passages")
-
-    entries = sent.where("kind = 1").groupBy("g", "passage").agg(F.min("doc_id").alias("low"), F.max("content").alias("content"))
+                    if len(sent) > 1 << 20:
+                        sent.clear()
+                    tag, at, n = (p["g"], p["passage"]), p["at"], p["n"]
+                    fresh = tag not in sent
+                    sent.add(tag)
+                    rows["g"].append(p["g"])
+                    rows["passage"].append(p["passage"])
+                    rows["content"].append(b" ".join(words[at : at + n + reach]) if fresh and p["kind"] == 1 else None)
+                    rows["hashes"].append(marks[at : at + n].tolist() if fresh and p["kind"] == 2 else None)
+                cols = [pa.array([doc] * len(rows["g"]), pa.int64()), pa.array(rows["g"], pa.int64()), pa.array(rows["passage"], pa.int64()), pa.array(rows["content"], pa.binary()), pa.array(rows["hashes"], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "g", "passage", "content", "hashes"])
+
+    sent = keyed.join(listed, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "places").mapInArrow(passages, "doc_id long, g long, passage long, content binary, hashes array<long>")
+    entries = written(sent.groupBy("g", "passage").agg(F.min("doc_id").alias("low"), F.max("content").alias("content"), F.max("hashes").alias("hashes")), "entries")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows = None, []
@@ -225,16 +217,19 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
             yield done()
 
     n = partitions(docs.sparkSession)
-    judged = entries.select("g", "passage", "low", "content").repartition(n, "g").sortWithinPartitions("g", "low", "passage").mapInArrow(shards, "g long, passage long, low long, marks array<int>")
-    varied = shared.where("kind = 1").select("doc_id", "text_key", "at", "n", "g", "passage").join(judged, ["g", "passage"])
+    walked = entries.where("content is not null").select("g", "passage", "low", "content").repartition(n, "g").sortWithinPartitions("g", "low", "passage").mapInArrow(shards, "g long, passage long, low long, marks array<int>")
+
+    single = entries.where("hashes is not null").select("g", "passage", "low", F.posexplode("hashes").alias("m", "window"))
+    least = single.groupBy("window").agg(F.min("low").alias("least"))
+    hits = single.join(least, "window").where("least < low").groupBy("g", "passage").agg(F.collect_list("m").alias("marks"))
+    alone = entries.where("hashes is not null").select("g", "passage", "low").join(hits, ["g", "passage"], "left")
+
+    judged = walked.unionByName(alone)
+    varied = shared.where("kind > 0").select("doc_id", "text_key", "at", "n", "g", "passage").join(judged, ["g", "passage"])
     later = varied.where("doc_id > low").select("doc_id", "text_key", F.col("at").alias("a"), (F.col("at") + F.col("n") + reach).alias("b"))
     first = varied.where("doc_id = low and size(marks) > 0").select("doc_id", "text_key", "at", F.explode("marks").alias("m")).select("doc_id", "text_key", (F.col("at") + F.col("m")).alias("a"), (F.col("at") + F.col("m") + window).alias("b"))
 
-    single = sent.where("kind = 2").select("doc_id", "text_key", "at", "passage")
-    least = single.groupBy("passage").agg(F.min("doc_id").alias("low"))
-    alone = single.join(least, "passage").where("doc_id > low").select("doc_id", "text_key", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
-
-    spans = whole.unionByName(later).unionByName(first).unionByName(alone)
+    spans = whole.unionByName(later).unionByName(first)
     return spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
