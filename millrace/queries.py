@@ -403,3 +403,95 @@ def flagship_join_group_order(t):
 
 
 QUERIES = {name: (lambda spark, sf_dir, build=build: build(Tables(spark, sf_dir))) for name, build in _BUILD.items()}
+
+
+# ---- the same through the SQL dialect, and changes of real tables
+
+
+def engine_query(sql: str, *tables: str, oracle: str | None = None):
+    """Register dialect text over the folder's tables."""
+
+    def keep(name: str) -> None:
+        def run(spark, sf_dir):
+            from millrace.session import Database
+
+            with _scratch(spark) as path:
+                db = Database(path, spark)
+                for t in tables:
+                    db.register(t, scan(spark, sf_dir, t))
+                return db.execute(sql).labelled()
+
+        QUERIES[name] = run
+        ORACLES[name] = oracle or sql
+
+    return keep
+
+
+def _scratch(spark):
+    """A new folder for a database: in the shared folder that the session names, or, where it names none, a temporary one."""
+    import contextlib
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    return contextlib.nullcontext(f"{root.rstrip('/')}/db-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="millrace-db-"))
+
+
+def changed(*statements: str, table: str, source, columns: str, result: str, oracle: str):
+    """Register statements on a table that is filled from a folder's table, and what is read back then."""
+
+    def keep(name: str) -> None:
+        def run(spark, sf_dir):
+            from millrace.session import Database
+
+            with _scratch(spark) as path:
+                db = Database(path, spark)
+                db.execute(f"CREATE TABLE {table} ({columns})")
+                db.bulk_insert(table, source(Tables(spark, sf_dir)))
+                for s in statements:
+                    db.execute(s)
+                return db.execute(result).labelled()
+
+        QUERIES[name] = run
+        ORACLES[name] = oracle
+
+    return keep
+
+
+engine_query("SELECT o_orderstatus, COUNT(*) AS n, SUM(o_totalprice) AS total FROM orders WHERE o_totalprice > 1000.0 GROUP BY o_orderstatus HAVING n > 10 ORDER BY total DESC", "orders")("sql_group_having_order")
+engine_query("SELECT c.c_name, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 400000 WHERE c.c_name LIKE '%9'", "customer", "orders", oracle="SELECT c.c_name AS \"c.c_name\", o.o_orderkey AS \"o.o_orderkey\" FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 400000 WHERE c.c_name ILIKE '%9'")("sql_left_join_like")
+engine_query("SELECT n_regionkey, n_name, COUNT(*) AS n FROM nation GROUP BY n_regionkey ORDER BY n_regionkey", "nation", oracle="SELECT n_regionkey, arg_min(n_name, n_nationkey) AS n_name, COUNT(*) AS n FROM nation GROUP BY n_regionkey")("sql_bare_column")
+engine_query("SELECT p_partkey, (0 - p_partkey) / 7 AS q, p_size / (p_size - 10) AS z, p_name = p_size AS b FROM part", "part", oracle="SELECT p_partkey, CAST(trunc((0 - p_partkey) // 7) AS BIGINT) AS q, CAST(trunc(p_size // nullif(p_size - 10, 0)) AS BIGINT) AS z, CASE WHEN p_name IS NOT NULL AND p_size IS NOT NULL THEN FALSE END AS b FROM part")("sql_arithmetic")
+engine_query("SELECT DISTINCT c_mktsegment FROM customer ORDER BY c_mktsegment DESC LIMIT 2 OFFSET 1", "customer")("sql_distinct_page")
+engine_query("SELECT n.n_name AS city, COUNT(*) AS cnt, SUM(o.o_totalprice) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name ORDER BY total DESC LIMIT 5", "orders", "customer", "nation")("sql_flagship")
+
+_PART = "p_partkey INT PRIMARY KEY, p_size INT, p_retailprice FLOAT"
+
+
+def _part(t):
+    return t.part.select("p_partkey", "p_size", "p_retailprice")
+
+
+changed("UPDATE part SET p_retailprice = p_retailprice * 2 WHERE p_size > 25", table="part", source=_part, columns=_PART, result="SELECT p_partkey, p_retailprice FROM part", oracle="SELECT p_partkey, CASE WHEN coalesce(p_size > 25, false) THEN p_retailprice * 2 ELSE p_retailprice END AS p_retailprice FROM part")("dml_update_result")
+changed("DELETE FROM part WHERE 100.0 / (p_size - 10) > 5.0", table="part", source=_part, columns=_PART, result="SELECT p_partkey FROM part", oracle="SELECT p_partkey FROM part WHERE (100.0::DOUBLE / nullif(p_size - 10, 0) > 5.0::DOUBLE) IS NOT TRUE")("dml_delete_result")
+changed("INSERT INTO nation (n_name) VALUES ('NEW')", table="nation", source=lambda t: t.nation.select("n_nationkey", "n_name"), columns="n_nationkey INT PRIMARY KEY, n_name TEXT", result="SELECT * FROM nation", oracle="SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation UNION ALL SELECT (SELECT CAST(MAX(n_nationkey) AS BIGINT) FROM nation) + 1, 'NEW'")("dml_insert_autopk_result")
+changed("BEGIN", "DELETE FROM part WHERE p_size > 3", "UPDATE part SET p_size = 0", "ROLLBACK", table="part", source=_part, columns=_PART, result="SELECT * FROM part", oracle="SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")("txn_rollback_noop")
+changed("CREATE INDEX by_size ON part(p_size)", table="part", source=_part, columns=_PART, result="SELECT p_partkey FROM part WHERE p_size = 7", oracle="SELECT p_partkey FROM part WHERE p_size = 7")("index_created_lookup")
+changed(table="part", source=_part, columns=_PART, result="SELECT COUNT(*) AS n FROM part", oracle="SELECT COUNT(*) AS n FROM part")("bulk_insert_count")
+
+
+def snapshot_read(spark, sf_dir):
+    """What a transaction sees while another session commits: the rows as of its begin."""
+    from millrace.session import Database
+
+    with _scratch(spark) as path:
+        writer, reader = Database(path, spark), Database(path, spark)
+        writer.execute(f"CREATE TABLE part ({_PART})")
+        writer.bulk_insert("part", _part(Tables(spark, sf_dir)))
+        reader.begin()
+        writer.execute("DELETE FROM part WHERE p_size < 40")
+        return reader.execute("SELECT p_partkey FROM part").labelled()
+
+
+QUERIES["snapshot_read"] = snapshot_read
+ORACLES["snapshot_read"] = "SELECT p_partkey FROM part"
