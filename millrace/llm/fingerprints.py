@@ -84,26 +84,83 @@ def fingerprint(text: Column) -> Column:
     return marks(text)
 
 
-def near(prints: DataFrame, radius: int, blocks: int | None = None, key_blocks: int = 1, fp_col: str = "fingerprint") -> DataFrame:
-    """(a, b, distance) for all pairs a < b of distinct hexadecimal fingerprints within ``radius`` bits.
-
-    ``blocks`` (default: radius + key_blocks) must be at least radius +
-    key_blocks: then some choice of ``key_blocks`` blocks is free of differences.
-    Each pair is told by the first table that holds it, once.
-    """
+def block_masks(radius: int, blocks: int | None, key_blocks: int) -> np.ndarray:
+    """Bits of each table's key, as 64-bit halves."""
     blocks = blocks or radius + key_blocks
     if blocks < radius + key_blocks:
         raise ValueError("too few blocks for this radius")
     cuts = [128 * i // blocks for i in range(blocks + 1)]
-    tables = list(combinations(range(blocks), key_blocks))
-    masks = np.array([[sum(((1 << cuts[c + 1]) - (1 << cuts[c])) >> half & ((1 << 64) - 1) for c in t) for half in (0, 64)] for t in tables], dtype=_U)
+    tables = combinations(range(blocks), key_blocks)
+    return np.array([[sum(((1 << cuts[c + 1]) - (1 << cuts[c])) >> half & ((1 << 64) - 1) for c in t) for half in (0, 64)] for t in tables], dtype=_U)
+
 
-    def permuted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _permuted(masks: np.ndarray):
+    """Each row's entries, table by table: (tab, key) and the row, whose first column is its fingerprint."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = _halves(batch.column(0).to_pylist())
             for n, mask in enumerate(masks):
                 key = mix(mix(fp[:, 0] & mask[0]) + mix((fp[:, 1] & mask[1]) + _U(n + 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), n, np.int32)), pa.array(key.view(np.int64)), batch.column(0)], names=["tab", "key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), n, np.int32)), pa.array(key.view(np.int64)), *batch.columns], names=["tab", "key", *batch.schema.names])
+
+    return entries
+
+
+def _hits(x: np.ndarray, masks: np.ndarray, tab: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether, distance) for differences x of rows that meet in table ``tab``: within the radius, and met in none before."""
+    distance = np.bitwise_count(x).sum(1)
+    ok = (distance <= radius) & ((x & masks[tab]) == 0).all(1)
+    for earlier in masks[:tab]:
+        ok &= ((x & earlier) != 0).any(1)
+    return ok, distance
+
+
+def near_counts(prints: DataFrame, queries: DataFrame, radius: int, blocks: int | None = None, key_blocks: int = 1, fp_col: str = "fingerprint") -> DataFrame:
+    """(fp, n_near) for each distinct fingerprint of ``queries``: rows of ``prints`` within ``radius`` bits of it.
+
+    Only keys that a query has are looked at, and a run yields one sum a query,
+    never its pairs. Null fingerprints count nowhere.
+    """
+    masks = block_masks(radius, blocks, key_blocks)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows = None, []
+
+        def out():
+            halves, n = _halves([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+            asked = [i for i, r in enumerate(rows) if r[2]]
+            found = [int(n[_hits(halves ^ halves[i], masks, own[0], radius)[0]].sum()) for i in asked]
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in asked], pa.string()), pa.array(found, pa.int64())], names=["fp", "n"])
+
+        for batch in batches:
+            for tab, key, fp, n, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (tab, key) != own:
+                    if rows:
+                        yield out()
+                    own, rows = (tab, key), []
+                rows.append((fp, n, asks))
+        if rows:
+            yield out()
+
+    asked = queries.select(F.col(fp_col).alias("fp")).where("fp is not null").distinct().withColumn("asks", F.lit(True))
+    counted = prints.select(F.col(fp_col).alias("fp")).where("fp is not null").groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    every = asked.join(counted, "fp", "full").select("fp", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("asks", F.lit(False)).alias("asks"))
+    entries = every.mapInArrow(_permuted(masks), "tab int, key long, fp string, n long, asks boolean")
+    wanted = entries.where("asks").select("tab", "key").distinct()
+    met = entries.join(wanted, ["tab", "key"]).repartition(partitions(prints.sparkSession), "tab", "key").sortWithinPartitions("tab", "key", "fp")
+    return met.mapInArrow(summed, "fp string, n long").groupBy("fp").agg(F.sum("n").alias("n_near"))
+
+
+def near(prints: DataFrame, radius: int, blocks: int | None = None, key_blocks: int = 1, fp_col: str = "fingerprint") -> DataFrame:
+    """(a, b, distance) for all pairs a < b of distinct hexadecimal fingerprints within ``radius`` bits.
+
+    ``blocks`` (default: radius + key_blocks) must be at least radius +
+    key_blocks: then some choice of ``key_blocks`` blocks is free of differences.
+    Each pair is told by the first table that holds it, once.
+    """
+    masks = block_masks(radius, blocks, key_blocks)
+    permuted = _permuted(masks)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run: list[str] = []
@@ -114,11 +171,7 @@ def near(prints: DataFrame, radius: int, blocks: int | None = None, key_blocks:
                     own, run, halves = (tab, key), [], np.empty((64, 2), _U)
                 me = _halves([fp])[0]
                 if run:
-                    x = halves[: len(run)] ^ me
-                    distance = np.bitwise_count(x).sum(1)
-                    ok = (distance <= radius) & ((x & masks[tab]) == 0).all(1)
-                    for earlier in masks[:tab]:
-                        ok &= ((x & earlier) != 0).any(1)
+                    ok, distance = _hits(halves[: len(run)] ^ me, masks, tab, radius)
                     hit = np.flatnonzero(ok).tolist()
                     if hit:
                         yield pa.RecordBatch.from_arrays([pa.array([run[i] for i in hit]), pa.array([fp] * len(hit)), pa.array(distance[hit].astype(np.int32))], names=["a", "b", "distance"])

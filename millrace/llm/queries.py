@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, fingerprints, idstore, langid, linededup, lm, simhash, substring, toxicity
 from millrace.llm.sampling import fold
-from millrace.llm.shared import lean, scratch
+from millrace.llm.shared import lean, scratch, written
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: End id and vocabulary size of the store that op8 writes.
 END_ID, VOCABULARY = 2, 50_257
+#: Radius of op7's search.
+NEAR_BITS = 6
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +63,11 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fingerprints.edited_pairs(documents(spark, sf_dir))
-    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    rows = written(made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"), "fingerprints")
+    # the search: documents within the radius of those whose id is divisible by 100
+    asks = F.col("doc_id") % 100 == 0
+    found = fingerprints.near_counts(rows, rows.where(asks), NEAR_BITS).withColumnRenamed("fp", "fingerprint")
+    return rows.join(found, "fingerprint", "left").select(*rows.columns, F.when(asks, F.col("n_near")).alias("n_near"))
 
 
 def op8_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
