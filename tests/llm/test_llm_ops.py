@@ -237,6 +237,10 @@ def test_permuted_tables_find_all_near_fingerprints(spark, radius, key_blocks):
     got = {(a, b, d) for a, b, d in fingerprints.near(spark.createDataFrame([(h,) for h in [*hexes, hexes[0], None]], "fingerprint string"), radius, key_blocks=key_blocks).collect()}
     want = {(a, b, d) for a, b in itertools.combinations(hexes, 2) if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= radius}
     assert got == want
+    some = [h for i, h in enumerate([*hexes, hexes[0]]) if i % 7 == 0] + ["f" * 32]
+    df, asked = (spark.createDataFrame([(h,) for h in x], "fingerprint string") for x in ([*hexes, hexes[0], None], [*some, None]))
+    counts = dict(map(tuple, fingerprints.near_counts(df, asked, radius, key_blocks=key_blocks).collect()))
+    assert counts == {q: sum((int(q, 16) ^ int(h, 16)).bit_count() <= radius for h in [*hexes, hexes[0]]) for q in set(some)}
 
 
 def test_equal_and_wordless_fingerprints(docs):
@@ -366,8 +370,17 @@ def test_line_dedup(spark, empty):
     assert linededup.dedup(empty).count() == 0
 
 
+def test_large_runs_are_walked(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SMALL", 2)
+    long = " ".join(f"word{i}" for i in range(60))
+    pairs = [(i, long.replace(f"word{i % 50} ", f"other{i} ")) for i in range(60)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert rows(linededup.dedup(df).select("doc_id", "text")) == line_brute(pairs)
+
+
 def test_large_runs_are_cut_into_chunks(spark, monkeypatch):
     monkeypatch.setattr(linededup, "RUN", 5)
+    monkeypatch.setattr(linededup, "CHUNK", 7)
     long = " ".join(f"word{i}" for i in range(60))
     pairs = [(i, long.replace(f"word{i % 50} ", f"other{i} ")) for i in range(60)]
     df = spark.createDataFrame(pairs, "doc_id long, text string")
