@@ -365,7 +365,23 @@ def test_explain_words(db):
         assert word in text
 
 
-def test_filters_reach_the_scan(db):
+def test_point_lookups_from_kept_rows(db, monkeypatch):
+    q(db, "CREATE TABLE t (id INT PRIMARY KEY, a INT, b TEXT)")
+    db.bulk_insert("t", [(i, i * 2, "x") for i in range(10)])
+    sql = ["SELECT * FROM t WHERE id = 3", "SELECT t.b, a AS z, a FROM t WHERE t.id = 3", "SELECT a FROM t WHERE id = 99", "SELECT x.a FROM t x WHERE x.id = 1", "SELECT *, a FROM t WHERE id = 0"]
+    quick = [(db.execute(s).cols, q(db, s)) for s in sql]
+    assert all(db.execute(s).df is None for s in sql)
+    q(db, "UPDATE t SET a = 70 WHERE id = 3")
+    assert q(db, sql[0]) == [(3, 70, "x")]
+    q(db, "UPDATE t SET a = 6 WHERE id = 3")
+    monkeypatch.setattr("millrace.session.POINT_ROWS", 0)
+    assert [(db.execute(s).cols, q(db, s)) for s in sql] == quick
+    with pytest.raises(ExecutionError):
+        db.execute("SELECT nope FROM t WHERE id = 3")
+
+
+def test_filters_reach_the_scan(db, monkeypatch):
+    monkeypatch.setattr("millrace.session.POINT_ROWS", 0)
     q(db, "CREATE TABLE t (id INT PRIMARY KEY, a INT, b TEXT)")
     db.bulk_insert("t", [(i, i, "x") for i in range(10)])
     plan = db.execute("SELECT a FROM t WHERE id = 3").df._jdf.queryExecution().executedPlan().toString()
