@@ -220,7 +220,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     guests = F.create_map(*named)[F.col("doc_id")] if named else F.when(F.col("doc_id").isNull(), F.lit(order[-1] if order else 0))
     places = F.array(F.struct(F.col("bin").alias("at"), F.lit(False).alias("guest")), F.struct(guests.alias("at"), F.lit(True).alias("guest")))
     dealt = ranged.withColumn("place", F.explode(F.filter(places, lambda p: p["at"].isNotNull()))).select("place.at", "place.guest", "doc_id", "text")
-    return dealt.repartition(n, "at").sortWithinPartitions("at", "guest", F.desc_nulls_last("doc_id"), "text")
+    return dealt.repartitionById(n, F.col("at")).sortWithinPartitions("at", "guest", F.desc_nulls_last("doc_id"), "text")
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
