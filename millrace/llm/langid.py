@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.sampling import below_rate, class_rates, unit
+from millrace.llm.shared import received, sent
 from millrace.llm.textops import slices
 
 BUCKETS, WIDTH = 1 << 14, 16
@@ -134,11 +135,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(spark, model: Model | None, text: Column) -> Column:
     """struct(lang_pred, score, rejected) of a text column."""
-    shared = spark.sparkContext.broadcast(model)  # buckets x languages, whatever the data
+    shared = sent(spark, model)  # buckets x languages, whatever the data
 
     @F.arrow_udf("struct<lang_pred: string, score: double, rejected: boolean>")
     def named(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = shared.value
+        m = received(shared)
         for column in columns:
             langs, scores = [], []
             texts = column.to_pylist()

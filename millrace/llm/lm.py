@@ -16,8 +16,8 @@ texts, and the trainers' rows are averaged, weighted by how often each used a ro
 ``ROUNDS`` such rounds. There are a few trainers a core, so what they send does
 not grow with the partitions. Scoring works on sparse rows in numpy batches.
 
-Counts of all words are kept as a table. Only the ``KNOWN`` commonest are
-broadcast; counts of other words reach a text's row by a join.
+Counts of all words are kept as a table. Only ``KNOWN`` of the commonest at
+most are broadcast; counts of other words reach a text's row by a join.
 
 Defined results: a null or wordless text is the end token alone; without training
 texts the counts are zero and the base score of every text is 0; rows with a null
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import partitions, written
+from millrace.llm.shared import partitions, received, sent, written
 from millrace.llm.textops import ASCII_LOWER, mix, slices, text_bytes
 
 END = b" "  # no word holds a blank
@@ -45,7 +45,7 @@ TOP, SLOTS, RARE, KNOWN = 3072, 96, 30, 1 << 18
 CLASSES = TOP // SLOTS + RARE
 #: Hashed rows of each class feature and of the feature within classes.
 ROWS, INNER_ROWS = 1 << 12, 1 << 12
-ROUNDS, STEP, RATE, TRAINERS_A_CORE = 1, 1 << 15, 0.1, 4
+ROUNDS, STEP, RATE, TRAINERS_A_CORE = 1, 1 << 13, 0.1, 4
 #: Entries of a counting task before it hands them on.
 FLUSH = 1 << 20
 _U = np.uint64
@@ -111,9 +111,19 @@ def count_words(texts: DataFrame) -> DataFrame:
 def untrained(counts: DataFrame) -> Model:
     """The model whose probabilities are add-one unigram ones, from a table of counts."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    # the KNOWN commonest words at most
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).toArrow()
-    words, c = top.column(0).to_pylist(), top.column(1).to_numpy().astype(np.int64)
+    # as many of the commonest words as fit into KNOWN, by eighths of a power of two of their counts: no sort of all words
+    level = F.floor(F.log2("c") * 8).cast("int")
+    levels, least, room = sorted(counts.groupBy(level.alias("k")).count().collect(), reverse=True), 1 << 20, KNOWN - 1  # some hundred rows
+    for k, n in levels:
+        room -= n
+        if room < 0:
+            break
+        least = k
+    top = counts.where((level >= least) | (F.col("word") == F.lit(bytearray(END)))).toArrow()
+    c = top.column(1).to_numpy().astype(np.int64)
+    words = top.column(0).to_pylist()
+    best = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
+    words, c = [words[i] for i in best], c[best]
     kind = F.substring("word", -1, 1)
     group = (F.crc32(F.substring("word", 1, 2)) % (RARE // 3) * 3 + F.when(kind == F.lit(bytearray(b".")), 1).when(kind == F.lit(bytearray(b",")), 2).otherwise(0)).cast("int")
     mass = np.ones(RARE)
@@ -273,12 +283,12 @@ def train(texts: DataFrame, m: Model, rounds: int = ROUNDS) -> Model:
     trainers = TRAINERS_A_CORE * spark.sparkContext.defaultParallelism
     blocks = 16
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(m)  # KNOWN words and fixed tables, whatever the data
+        shared = sent(spark, m)  # KNOWN words and fixed tables, whatever the data
 
         def passes(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from dataclasses import replace
 
-            first = shared.value
+            first = received(shared)
             own = replace(first, rows=first.rows.copy(), rows_in=first.rows_in.copy())
             lexicon, end = _lexicon(own)
             state = [np.zeros(n, np.float32) for n in (4 * ROWS, 4 * ROWS, INNER_ROWS, INNER_ROWS)]
@@ -306,8 +316,8 @@ def train(texts: DataFrame, m: Model, rounds: int = ROUNDS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "data"])
 
         schema = "block int, data binary"
-        sent = texts.select("text").coalesce(trainers).mapInArrow(passes, schema)
-        some = sent.repartition(min(partitions(spark), 2 * blocks), "block").mapInArrow(summed, schema)
+        moves = texts.select("text").coalesce(trainers).mapInArrow(passes, schema)
+        some = moves.repartition(min(partitions(spark), 2 * blocks), "block").mapInArrow(summed, schema)
         got = dict(sorted((r.block, np.frombuffer(r.data, np.float32)) for r in some.collect()))  # the tables' size
         rows, rows_in = m.rows.copy(), m.rows_in.copy()
         for kind, table, width in ((0, rows, CLASSES), (1, rows_in, SLOTS)):
@@ -323,11 +333,11 @@ def train(texts: DataFrame, m: Model, rounds: int = ROUNDS) -> Model:
 def score(docs: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for each row of doc_id, text."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(m)
+    shared = sent(spark, m)
     size = float(np.log10(m.base_size))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = received(shared)
         lexicon, end = _lexicon(m)
         for batch in batches:
             raw = text_bytes(batch.column(2))

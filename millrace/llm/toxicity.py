@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.sampling import below_rate, class_rates
+from millrace.llm.shared import received, sent
 from millrace.llm.textops import slices
 
 #: Byte lengths of word beginnings that are features.
@@ -188,11 +189,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(spark, model: Model | None, text: Column) -> Column:
     """Score in 0 to 1 of a text column."""
-    shared = spark.sparkContext.broadcast(model)  # MAX_FEATURES weights at most
+    shared = sent(spark, model)  # MAX_FEATURES weights at most
 
     @F.arrow_udf("double")
     def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = shared.value
+        m = received(shared)
         for column in columns:
             texts = [t or "" for t in column.to_pylist()]
             out = np.zeros(len(texts))
