@@ -15,12 +15,12 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +49,7 @@ def grams(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and re.search(r"[^\W\d_]", text) is not None
+    return bool(text) and regex.search(r"\p{L}", text) is not None
 
 
 @dataclass
