@@ -298,6 +298,8 @@ def test_recovery_ignores_torn_commits_and_stray_files(spark, tmp_path):
     (tmp_path / "db" / "data" / "t" / "stray").mkdir()
     again = Database(path, spark)
     assert again.execute("SELECT * FROM t").rows == [(1,)]
+    again.execute("INSERT INTO t VALUES (2)")
+    assert Database(path, spark).execute("SELECT COUNT(*) FROM t").rows == [(2,)]
 
 
 def test_reopening_after_close(spark, tmp_path):
