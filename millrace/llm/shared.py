@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own: list[str] = []
@@ -57,3 +58,12 @@ def received(shared):
     import pickle
 
     return pickle.loads(shared.value)
+
+
+def chunk_pairs(node: str, chunks: str) -> Column:
+    """Pairs of chunks that a row is in, an array: chunk i of n meets every chunk, itself included.
+
+    Grouped by the pair, all rows of a group meet, and no task holds more than two chunks.
+    """
+    own = F.pmod(F.hash(node), F.col(chunks))
+    return F.transform(F.sequence(F.lit(0), F.col(chunks) - 1), lambda j: F.least(own, j) * F.col(chunks) + F.greatest(own, j))

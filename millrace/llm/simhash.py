@@ -12,7 +12,8 @@ the segment and its one-bit changes, which meet within two bits.
 A run of fingerprints with one key yields a spanning forest, not all its pairs:
 a breadth-first walk takes from those not yet reached what lies within r of the
 next one, so a dense group costs about its size. Runs above ``RUN`` fingerprints
-are left to an exact linear way where r is 2: two fingerprints differ in
+are cut into chunks, each pair of which is a run; where r is 2 there is an exact
+way in linear time instead: two fingerprints differ in
 at most 2 bits exactly if both are within one bit of a common value, so each is
 entered under itself and its 64 one-bit changes, and a value links its smallest.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
-from millrace.llm.shared import free_name, partitions, written
+from millrace.llm.shared import chunk_pairs, free_name, partitions, written
 from millrace.llm.textops import ASCII_LOWER, Words, bit_sums, text_bytes, window_hashes
 
 #: Fingerprints under one key from which the linear way takes over.
@@ -119,21 +120,26 @@ def links(prints: DataFrame, radius: int = 2, segments: int = 3) -> DataFrame:
     entered = fp.select("fp", F.explode(F.array(*keys)).alias("key"))
     counts = entered.groupBy("key").count().where("count > 1")
     exact = radius == 2
-    shared = entered.join(counts.where(f"count <= {RUN}") if exact else counts, "key").select("key", "fp")
+    if exact:
+        shared = entered.join(counts.where(f"count <= {RUN}"), "key").select("key", F.lit(0).alias("part"), "fp")
+    else:
+        sized = counts.select("key", F.ceil(F.col("count") / RUN).cast("int").alias("chunks"))
+        shared = entered.join(sized, "key").select("key", F.explode(chunk_pairs("fp", "chunks")).alias("part"), "fp")
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = (np.empty(0, np.int64), np.empty(0, np.int64))
+        rest = tuple(np.empty(0, np.int64) for _ in range(3))
         for batch in _ended(batches):
+            rows = rest
             if batch is not None:
-                key = np.concatenate((rest[0], batch.column(0).to_numpy()))
-                value = np.concatenate((rest[1], batch.column(1).to_numpy()))
-                cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            else:
-                (key, value), cut = rest, len(rest[0])
-            rest, key, value = (key[cut:], value[cut:]), key[:cut], value[:cut]
-            if not len(key):
+                rows = tuple(np.concatenate((r, c.to_numpy().astype(np.int64))) for r, c in zip(rest, batch.columns, strict=True))
+            key, part, value = rows
+            new = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+            cut = len(key) if batch is None else int(new[-1]) if len(new) else 0  # the last run may go on
+            rest = tuple(r[cut:] for r in rows)
+            if not cut:
                 continue
-            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            key, value = key[:cut], value[:cut]
+            edge = np.concatenate(([0], new[new < cut], [cut]))
             size = np.diff(edge)
             a_out, b_out = [], []
             pair = edge[:-1][size == 2]
@@ -152,7 +158,7 @@ def links(prints: DataFrame, radius: int = 2, segments: int = 3) -> DataFrame:
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (a_out, b_out)], names=["a", "b"])
 
-    found = shared.repartition(partitions(spark), "key").sortWithinPartitions("key", "fp").mapInArrow(forest, "a long, b long")
+    found = shared.repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(forest, "a long, b long")
     if exact:
         hot = entered.join(counts.where(f"count > {RUN}"), "key").select("fp").distinct()
         near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), b)) for b in range(64)])
@@ -216,9 +222,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = components(links(nodes, radius, segments)).withColumnRenamed("node", "fp")
     placed = nodes.select("text_key", "fp").join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     sizes = placed.groupBy("component").count().where("count > 1").select("component", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    own = F.pmod(F.hash("text_key"), F.col("chunks"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(own, j) * F.col("chunks") + F.greatest(own, j))
-    wanted = written(placed.join(sizes, "component").select("text_key", "fp", "component", pairs.alias("parts")), "wanted")
+    wanted = written(placed.join(sizes, "component").select("text_key", "fp", "component", chunk_pairs("text_key", "chunks").alias("parts")), "wanted")
     texts = docs.select(F.xxhash64(text_col).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = texts.join(wanted, "text_key").dropDuplicates(["text_key"]).select("component", F.explode("parts").alias("part"), "text_key", "fp", "text")
 

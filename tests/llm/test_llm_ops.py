@@ -144,7 +144,7 @@ def test_simhash_groups(docs, empty):
     assert simhash.near_groups(empty).count() == 0
 
 
-@pytest.mark.parametrize("radius,segments,run", [(2, 3, 4096), (2, 3, 2), (3, 4, 4096), (8, 3, 4096), (1, 2, 4096)])
+@pytest.mark.parametrize("radius,segments,run", [(2, 3, 4096), (2, 3, 2), (3, 4, 4096), (3, 4, 5), (8, 3, 4096), (8, 3, 20), (1, 2, 4096)])
 def test_pigeonring_links_lose_no_pair(spark, monkeypatch, radius, segments, run):
     monkeypatch.setattr(simhash, "RUN", run)
     r = random.Random(radius)
