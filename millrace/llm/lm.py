@@ -2,7 +2,7 @@
 
 Words are runs without white space, A-Z lower-cased; a text ends with one end
 token. The probability of a token is that of its class times that of the token
-within its class. Class logits are a bias plus hashed weight rows of four
+within its class. Class logits are sums of hashed weight rows of four
 features: the word before (bigram), the two before (trigram), and the second and
 third before alone (skips). The ``TOP`` commonest tokens fill classes of
 ``SLOTS``, in which logits are a bias plus a hashed row of the word before.
@@ -45,7 +45,8 @@ TOP, SLOTS, RARE, KNOWN = 3072, 96, 30, 1 << 18
 CLASSES = TOP // SLOTS + RARE
 #: Hashed rows of each class feature and of the feature within classes.
 ROWS, INNER_ROWS = 1 << 12, 1 << 12
-ROUNDS, STEP, RATE, TRAINERS_A_CORE = 1, 1 << 13, 0.1, 4
+ROUNDS, STEP, RATE, TRAINERS_A_CORE, SHORT = 1, 1 << 13, 0.1, 4, 12
+#: SHORT: runs of rows up to this long are summed side by side.
 #: Entries of a counting task before it hands them on.
 FLUSH = 1 << 20
 _U = np.uint64
@@ -74,7 +75,6 @@ class Model:
     slot: np.ndarray
     inner: np.ndarray  # log10 probability within a rare class, without log10(c + 1) for unknown codes
     log_count: np.ndarray  # log10(c + 1)
-    bias: np.ndarray
     bias_in: np.ndarray
     rows: np.ndarray
     rows_in: np.ndarray
@@ -149,8 +149,11 @@ def untrained(counts: DataFrame) -> Model:
         bias = np.log(np.concatenate((heads, mass)))
     bias_in[np.isneginf(bias_in).all(1)] = 0.0
     bias[np.isneginf(bias)] = -1e9
+    # every token has one bigram row, so these rows begin with the classes' biases
+    rows = np.zeros((4 * ROWS, CLASSES), np.float32)
+    rows[:ROWS] = bias - bias.max()
     inner = np.where(slot < 0, log_count - np.log10(mass)[np.maximum(of_class - TOP // SLOTS, 0)], 0.0)
-    return Model(words, int(total[0]), int(total[1]), of_class, slot, inner, log_count, bias.astype(np.float32), bias_in.astype(np.float32), np.zeros((4 * ROWS, CLASSES), np.float32), np.zeros((INNER_ROWS, SLOTS), np.float32))
+    return Model(words, int(total[0]), int(total[1]), of_class, slot, inner, log_count, bias_in.astype(np.float32), rows, np.zeros((INNER_ROWS, SLOTS), np.float32))
 
 
 def coded(lexicon: Lexicon, end: int, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -189,17 +192,22 @@ def _take(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of logits, capped where float32 would overflow, and its row sums; z is capped in place."""
-    np.minimum(z, 60, out=z)
-    e = np.exp(z)
-    return e, e @ np.ones(z.shape[1], np.float32)
+    """exp of logits and its row sums; should float32 overflow, z is capped in place."""
+    ones = np.ones(z.shape[1], np.float32)
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+    total = e @ ones
+    if not np.isfinite(total).all():
+        np.minimum(z, 60, out=z)
+        e = np.exp(z)
+        total = e @ ones
+    return e, total
 
 
 def _class_logits(m: Model, rows: np.ndarray) -> np.ndarray:
     z = _take(m.rows, rows[0])
     for r in rows[1:]:
         z += _take(m.rows, r)
-    z += m.bias
     return z
 
 
@@ -230,11 +238,11 @@ def log_probabilities(m: Model, codes: np.ndarray, sizes: np.ndarray) -> np.ndar
 def _sum_runs(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Sums of runs of rows: short ones all at once, row after row; long ones each by itself."""
     out = _take(x, first)
-    short = np.flatnonzero((size > 1) & (size <= 4))
-    for k in range(1, 4):
+    short = np.flatnonzero((size > 1) & (size <= SHORT))
+    for k in range(1, SHORT):
         short = short[size[short] > k]
         out[short] += _take(x, first[short] + k)
-    for i in np.flatnonzero(size > 4).tolist():
+    for i in np.flatnonzero(size > SHORT).tolist():
         out[i] = x[first[i] : first[i] + size[i]].sum(0)
     return out
 
