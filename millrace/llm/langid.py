@@ -30,7 +30,7 @@ from millrace.llm.textops import slices
 
 BUCKETS, WIDTH = 1 << 14, 16
 #: Labelled rows that a fit takes at most, about, and the longest text among them in bytes.
-SAMPLE, SAMPLE_BYTES = 3000, 1 << 16
+SAMPLE, SAMPLE_BYTES = 3000, 1 << 14
 EPOCHS, BATCH, RATE = 12, 32, 0.5
 #: Part of the sample for calibration; share of its texts that may be rejected; no threshold goes above CEILING.
 HELD, REJECT, CEILING = 0.2, 0.001, 0.5

@@ -34,7 +34,7 @@ from millrace.llm.textops import slices
 #: Byte lengths of word beginnings that are features.
 PREFIXES = (4, 5, 6)
 #: Labelled rows that a fit takes at most, about, by label, and the longest text among them in bytes.
-SAMPLE, SAMPLE_BYTES = {0: 5000, 1: 2500}, 1 << 16
+SAMPLE, SAMPLE_BYTES = {0: 5000, 1: 2500}, 1 << 14
 #: A feature is in at least so many sampled texts; at most so many features, the commonest first, are fitted.
 MIN_TEXTS, MAX_FEATURES = 3, 1 << 18
 #: A feature is fitted only if its share of toxic texts is so many standard errors off the mean.
