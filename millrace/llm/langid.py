@@ -30,7 +30,7 @@ from millrace.llm.textops import slices
 
 BUCKETS, WIDTH = 1 << 14, 16
 #: Labelled rows that a fit takes at most, about, and the longest text among them in bytes.
-SAMPLE, SAMPLE_BYTES = 3000, 1 << 14
+SAMPLE, SAMPLE_BYTES = 2000, 1 << 13
 EPOCHS, BATCH, RATE = 12, 32, 0.5
 #: Part of the sample for calibration; share of its texts that may be rejected; no threshold goes above CEILING.
 HELD, REJECT, CEILING = 0.2, 0.001, 0.5
@@ -90,7 +90,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], held: np
         for a in range(0, len(own), BATCH):
             pick = own[a : a + BATCH]
             rate = RATE * (1 - done / steps)
-            idx = np.concatenate([docs[i][0] for i in pick])
+            idx = np.concatenate([docs[i][0] for i in pick]).astype(np.int64)
             share = np.concatenate([docs[i][1] / docs[i][1].sum() for i in pick])
             begin = np.cumsum([0] + [len(docs[i][0]) for i in pick])[:-1]
             x = np.add.reduceat(emb[idx] * share[:, None], begin)
@@ -124,11 +124,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             kinds = [batch.column(1), batch.column(2), *(pa.array([x[k].astype(t).tobytes() for x in found], pa.binary()) for k, t in ((0, "<u2"), (1, "<f4")))]
             yield pa.RecordBatch.from_arrays(kinds, names=["l", "u", "g", "n"])
 
-    got = taken.select("t", F.col("l").cast("string").alias("l"), unit(F.col("i")).alias("u")).mapInArrow(counted, "l string, u double, g binary, n binary").limit(2 * sample).toArrow().to_pylist()
-    got = sorted((r for r in got if r["g"]), key=lambda r: (r["u"], r["l"], r["g"]))
+    got = taken.select("t", F.col("l").cast("string").alias("l"), unit(F.col("i")).alias("u")).mapInArrow(counted, "l string, u double, g binary, n binary").limit(2 * sample).collect()
+    got = sorted((r for r in got if r["g"]), key=lambda r: (r["u"], r["l"], bytes(r["g"])))
     if not got:
         return None
-    feats = [(np.frombuffer(r["g"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<f4").astype(float)) for r in got]
+    feats = [(np.frombuffer(r["g"], "<u2"), np.frombuffer(r["n"], "<f4")) for r in got]  # widened a batch at a time
     held = np.arange(len(got)) % round(1 / HELD) == 0 if len(got) >= 20 else np.zeros(len(got), bool)
     return train(feats, [r["l"] for r in got], held)
 

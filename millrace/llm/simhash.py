@@ -118,13 +118,13 @@ def links(prints: DataFrame, radius: int = 2, segments: int = 3) -> DataFrame:
         some = [own] + [own.bitwiseXOR(F.lit(1 << b)) for b in range(bits if loose else 0)]
         keys += [v * F.lit(segments) + F.lit(i) for v in some]
     entered = fp.select("fp", F.explode(F.array(*keys)).alias("key"))
-    counts = entered.groupBy("key").count().where("count > 1")
+    hot = entered.groupBy("key").count().where(f"count > {RUN}").select("key", F.ceil(F.col("count") / RUN).cast("int").alias("chunks"))
+    tagged = entered.join(hot, "key", "left")
     exact = radius == 2
     if exact:
-        shared = entered.join(counts.where(f"count <= {RUN}"), "key").select("key", F.lit(0).alias("part"), "fp")
+        shared = tagged.where("chunks is null").select("key", F.lit(0).alias("part"), "fp")
     else:
-        sized = counts.select("key", F.ceil(F.col("count") / RUN).cast("int").alias("chunks"))
-        shared = entered.join(sized, "key").select("key", F.explode(chunk_pairs("fp", "chunks")).alias("part"), "fp")
+        shared = tagged.withColumn("chunks", F.coalesce("chunks", F.lit(1))).select("key", F.explode(chunk_pairs("fp", "chunks")).alias("part"), "fp")
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = tuple(np.empty(0, np.int64) for _ in range(3))
@@ -160,9 +160,9 @@ def links(prints: DataFrame, radius: int = 2, segments: int = 3) -> DataFrame:
 
     found = shared.repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(forest, "a long, b long")
     if exact:
-        hot = entered.join(counts.where(f"count > {RUN}"), "key").select("fp").distinct()
+        crowded = tagged.where("chunks is not null").select("fp").distinct()
         near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), b)) for b in range(64)])
-        met = hot.select("fp", F.explode(near).alias("value"))
+        met = crowded.select("fp", F.explode(near).alias("value"))
         hubs = met.groupBy("value").agg(F.min("fp").alias("b"))
         found = found.unionByName(met.join(hubs, "value").where("fp <> b").select(F.col("fp").alias("a"), "b"))
     return found
