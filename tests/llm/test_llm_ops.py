@@ -370,6 +370,31 @@ def test_line_dedup(spark, empty):
     assert linededup.dedup(empty).count() == 0
 
 
+def test_line_dedup_finds_what_fingerprints_miss(spark):
+    r = random.Random(12)
+
+    def word():
+        return "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9)))
+
+    pairs = []
+    for i in range(60):
+        w = [word() for _ in range(r.randint(20, 60))]
+        pairs.append((2 * i, " ".join(w)))
+        for k in r.sample(range(len(w)), len(w) // 6):
+            w[k] = "".join(r.choice("qrstuvwxyz") for _ in w[k])
+        pairs.append((2 * i + 1, " ".join(w)))
+    for i in range(200, 300, 2):  # short lines: letters changed, added and left out
+        a = "".join(r.choice("abcd ") for _ in range(r.randint(5, 27))).strip() + "xyz"
+        at = r.randrange(len(a))
+        pairs += [(i, a), (i + 1, a[:at] + r.choice(["", "e", "ef"[:1 + len(a) // 10]]) + a[at + 1 :])]
+    names = [linededup.normal(t) for _, t in pairs]
+    prints = linededup.line_prints([x.encode() for x in names])
+    assert sum(not linededup.near(prints[i : i + 1], prints[i + 1], 10, 4)[0] and linededup.similar(names[i], names[i + 1]) for i in range(0, 120, 2)) > 20
+    want = brute_groups(names, [i for i, _ in pairs], linededup.similar)
+    got = {x.doc_id: x.text for x in linededup.dedup(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert {i for i, t in got.items() if t} == set(want)
+
+
 def test_large_runs_are_walked(spark, monkeypatch):
     monkeypatch.setattr(linededup, "SMALL", 2)
     long = " ".join(f"word{i}" for i in range(60))
