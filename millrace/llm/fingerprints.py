@@ -217,7 +217,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     order = [r.bin for r in heads]
     before = dict(zip(order, [order[-1], *order[:-1]], strict=True)) if order else {}
     named = [F.lit(x) for r in heads if r.head is not None for x in (r.head, before[r.bin])]
-    guests = F.create_map(*named)[F.col("doc_id")] if named else F.when(F.col("doc_id").isNull(), F.lit(order[-1] if order else 0))
+    nulls = [F.when(F.col("doc_id").isNull(), F.lit(before[r.bin])) for r in heads if r.head is None]  # a range of null ids alone
+    guests = F.coalesce(*([F.create_map(*named)[F.col("doc_id")]] if named else []), *nulls, F.lit(None).cast("int"))
     places = F.array(F.struct(F.col("bin").alias("at"), F.lit(False).alias("guest")), F.struct(guests.alias("at"), F.lit(True).alias("guest")))
     dealt = ranged.withColumn("place", F.explode(F.filter(places, lambda p: p["at"].isNotNull()))).select("place.at", "place.guest", "doc_id", "text")
     return dealt.repartitionById(n, F.col("at")).sortWithinPartitions("at", "guest", F.desc_nulls_last("doc_id"), "text")

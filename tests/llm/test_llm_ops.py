@@ -228,6 +228,12 @@ def test_edited_texts_and_next_documents(spark, docs, empty):
     assert sorted(r.edited for r in fingerprints.edited_pairs(nulls).collect()) == ["abcdgh", "gha"]
 
 
+def test_next_of_the_row_before_null_ids(spark):
+    few = spark.createDataFrame([(1, "abcdef"), (2, "ghi"), (3, "jkl"), (None, "mnopqr")], "doc_id long, text string")
+    got = {r.doc_id: r.edited for r in fingerprints.edited_pairs(few).collect()}
+    assert got == {3: "jkg", 2: "gha", 1: "abcdmn", None: "mnopjk"}
+
+
 @pytest.mark.parametrize("radius,key_blocks", [(0, 1), (3, 1), (3, 2)])
 def test_permuted_tables_find_all_near_fingerprints(spark, radius, key_blocks):
     r = random.Random(radius)
