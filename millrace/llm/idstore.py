@@ -104,7 +104,7 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain: dict[str, bytes] = {}
         self.code, self.array = {"<u2": "H", "<u4": "I"}[dtype], array
         self.line_end = self.whole("\n")
@@ -136,9 +136,10 @@ class Pieces(dict):
         Where no two white-space characters meet, the byte-level pattern matches
         across neither a space (which opens the match of what follows) nor a line
         end (a match of its own), so the pieces between can be encoded apart.
-        Other texts go to the library whole.
+        Other texts go to the library whole, and so do those that hold an added
+        token such as <|endoftext|>, which is one id there.
         """
-        if self.doubled(text) or not text:
+        if not text or self.doubled(text) or any(t in text for t in self.added):
             return self.whole(text)
         first, *rest = text.split(" ")
         lines = first.split("\n")

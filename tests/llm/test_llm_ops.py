@@ -110,6 +110,13 @@ def test_pieces_equal_whole_texts():
         assert own.encode(text) == own.whole(text), repr(text)
 
 
+def test_added_tokens_are_coded_as_by_the_library():
+    own, tok = idstore.Pieces(P.path("byte_bpe_50k.json"), "<u4"), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    for text in ["a <|endoftext|> b", *(f"x {t}y\nz {t}" for t in added), "a <|endof text|> b"]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
 def brute_print(text, n):
     w = (text or "").encode().translate(LOWER).split()
     terms = [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or ([b" ".join(w)] if w else [])
