@@ -2,38 +2,77 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import written
 
+#: Nodes that a task holds before it hands on what it has joined.
+FLUSH = 1 << 20
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) in, a spanning forest of each task's share out: every node with the root that it has there."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root[x]) != x:
+            root[x] = x = root[up]
+        return x
+
+    def out() -> pa.RecordBatch:
+        own = [(x, r) for x in root if (r := find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in own], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        if len(root) > FLUSH:
+            yield out()
+            root.clear()
+    yield out()
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of ``links`` (a, b, both long); component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds: each rewires every node to the
-    smallest node of its neighbourhood, so a hub's links shrink to one a node and
-    a chain halves. Nodes are hash-dealt and only minima are gathered before the
-    rewired links are made, so a hub is no task of its own beyond one sum. Each
-    round is written to the shared folder. Links with a null end are left out;
-    loops and repeated links change nothing; without links the result is empty.
+    Each task first joins the links that it has to a forest. Then rounds contract
+    the graph: every node moves to the least of its neighbours and itself, in an
+    order that each round draws anew, and links between nodes that moved together
+    are gone. A star is gone after one round, a chain loses a part of its nodes in
+    each. The least neighbour of a hub is a minimum that tasks take before rows are
+    dealt; what it moves to is joined from a written table, so that adaptive
+    execution can split a hub's links over tasks. Each round is written to the
+    shared folder. Links with a null end and loops are left out; repeated links
+    change nothing; without links the result is empty.
     """
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct()
-    edges = written(edges, "links")
-    while True:
+    ends = links.select("a", "b").where("a is not null and b is not null and a <> b")
+    edges = written(ends.mapInArrow(_forests, "a long, b long").distinct(), "links")
+    moves: list[DataFrame] = []
+    order = random.Random(11)
+    while not moves or not edges.isEmpty():
+        mark = F.lit(order.getrandbits(62))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        after = written(small, "links")
-        if not _changed(edges, after):
+        least = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(mark)).alias("m"))
+        to = F.least(F.col("m"), F.col("a").bitwiseXOR(mark)).bitwiseXOR(mark)
+        moves.append(written(least.select(F.col("a").alias("node"), to.alias("to")), "moves"))
+        if len(moves) == 1 and moves[0].isEmpty():
             break
-        edges = after
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).distinct()
-
-
-def _changed(before: DataFrame, after: DataFrame) -> bool:
-    mark = [F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum((F.xxhash64("a", "b") % 1_000_003))]
-    return before.agg(*mark).first() != after.agg(*mark).first()
+        for end in ("a", "b"):
+            edges = edges.join(moves[-1].select(F.col("node").alias(end), F.col("to").alias(f"to_{end}")), end)
+        moved = edges.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b"))
+        edges = written(moved.where("a <> b").distinct(), "links")
+    label = moves[0]
+    for later in moves[1:]:
+        then = later.select(F.col("node").alias("to"), F.col("to").alias("then"))
+        label = label.join(then, "to", "left").select("node", F.coalesce("then", "to").alias("to"))
+    low = written(label.groupBy("to").agg(F.min("node").alias("component")), "components")
+    return label.join(low, "to").select("node", "component")

@@ -11,15 +11,15 @@ passages that can match it:
     least hash. Equal windows pick equal anchors. The windows of one anchor
     occurrence are neighbours, together a passage. An anchor that stands in one
     document alone can match nothing and is dropped.
-2.  Equal passages of an anchor are one entry of its reference, held by the
-    smallest id. If there is no other entry, the passage's copies match it whole.
+2.  Equal passages of an anchor (told by 128-bit digests of their words) are one
+    entry of its reference, held by the smallest id. If there is no other entry, the passage's copies match it whole.
 3.  Otherwise the entries form a shard: in ascending id order each is streamed
     through the suffix automaton of those before it, and its matching statistics
     (the longest match that ends at each word) of ``WINDOW`` or more mark its
     windows; then the automaton is extended by it.
 4.  Anchors with more than ``HOT`` occurrences and several entries would make an
-    unbounded shard. The windows of their entries are compared one by one by a
-    grouped minimum, which Spark aggregates before it shuffles.
+    unbounded shard. The windows of their entries are compared one by one, as
+    128-bit digests, by a grouped minimum, which Spark aggregates before it shuffles.
 
 Defined results: a null text has no words; documents with a null id are kept
 whole and are no reference; rows of one id do not match each other; equal rows
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import partitions, written
-from millrace.llm.textops import Words, inverse_powers, mix, powers, shingle_index, slices, text_bytes, window_hashes
+from millrace.llm.textops import Words, shingle_index, slices, text_bytes, window_hashes
 
 WINDOW, GRAM, HOT = 50, 10, 2048
 _PLACE = np.uint64((1 << 28) - 1)
@@ -117,18 +117,20 @@ def marked_windows(entries: list[tuple[int, list[bytes]]], window: int) -> list[
     return out
 
 
-def _hash_range(sums: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(_U))
+def digests(parts: list[bytes]) -> np.ndarray:
+    """(n, 2) 64-bit halves of 128-bit digests: what stands for a passage where its words are not compared themselves."""
+    from xxhash import xxh3_128_digest
+
+    return np.frombuffer(b"".join(map(xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
 
 
 def _anchors(words: Words, window: int, gram: int):
-    """Of each anchor occurrence: text, first window (word index), number of windows, anchor hash, passage hash."""
-    h = words.hashes()
+    """Of each anchor occurrence: text, first window (word index), number of windows, anchor hash, passage digest (two columns)."""
     start, text = shingle_index(words.first, window)
     if not len(start):
         z = np.empty(0, np.int64)
-        return z, z, z, z, z
-    g = window_hashes(h, gram)
+        return z, z, z, z, np.empty((0, 2), np.int64)
+    g = window_hashes(words.hashes(), gram)
     low = (g & ~_PLACE) | np.arange(len(g), dtype=_U)
     width, span = window - gram + 1, 1
     best = low
@@ -141,11 +143,10 @@ def _anchors(words: Words, window: int, gram: int):
     new = np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])))
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(start)))
-    sums = np.zeros(len(h) + 1, dtype=_U)
-    np.cumsum(h * powers(len(h)), out=sums[1:])
     first = start[head]
-    passage = _hash_range(sums, inverse_powers(len(h) + 1), first, first + count + window - 1)
-    return text[head], first, count, g[at[head]].view(np.int64), passage.view(np.int64)
+    ends = words.end[first + count + window - 2]
+    passage = digests([words.buf[x:y] for x, y in zip(words.start[first].tolist(), ends.tolist(), strict=True)])
+    return text[head], first, count, g[at[head]].view(np.int64), passage
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -161,71 +162,75 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
             ids, keys, texts = (batch.column(i) for i in range(3))
             ids, keys, texts = ids.to_numpy(), keys.to_numpy(), text_bytes(texts)
             for a, b in slices([len(t) for t in texts]):
-                words = Words(texts[a:b])
+                words = Words([b" ".join(t.split()) for t in texts[a:b]])
                 text, first, count, g, passage = _anchors(words, window, gram)
-                cols = (ids[a:b][text], keys[a:b][text], (first - words.first[text]).astype(np.int32), count.astype(np.int32), g, passage)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "text_key", "at", "n", "g", "passage"])
-
-    found = written(keyed.mapInArrow(occurrences, "doc_id long, text_key long, at int, n int, g long, passage long"), "anchors")
-    stats = found.groupBy("g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("passage").alias("p1"), F.max("passage").alias("p2"), F.count(F.lit(1)).alias("times"))
-    kinds = stats.where("low < high").select("g", "low", F.when(F.col("p1") == F.col("p2"), 0).when(F.col("times") <= hot, 1).otherwise(2).alias("kind"))
+                cols = (ids[a:b][text], keys[a:b][text], (first - words.first[text]).astype(np.int32), count.astype(np.int32), g, *passage.T)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "text_key", "at", "n", "g", "passage", "passage2"])
+
+    found = written(keyed.mapInArrow(occurrences, "doc_id long, text_key long, at int, n int, g long, passage long, passage2 long"), "anchors")
+    stats = found.groupBy("g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *[f(c).alias(f"{n}_{c}") for c in ("passage", "passage2") for n, f in (("low", F.min), ("high", F.max))], F.count(F.lit(1)).alias("times"))
+    alike = (F.col("low_passage") == F.col("high_passage")) & (F.col("low_passage2") == F.col("high_passage2"))
+    # a table of its own, so that adaptive execution can split the occurrences of a hot anchor over tasks
+    kinds = written(stats.where("low < high").select("g", "low", F.when(alike, 0).when(F.col("times") <= hot, 1).otherwise(2).alias("kind")), "kinds")
     shared = written(found.join(kinds, "g"), "shared")
 
     whole = shared.where("kind = 0 and doc_id > low").select("doc_id", "text_key", F.col("at").alias("a"), (F.col("at") + F.col("n") + reach).alias("b"))
 
-    listed = shared.where("kind > 0").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "n", "g", "passage", "kind")).alias("places"))
+    listed = shared.where("kind > 0").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "n", "g", "passage", "passage2", "kind")).alias("places"))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         sent: set = set()
         for batch in batches:
             for doc, key, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
                 words = raw.split()
-                marks = window_hashes(Words([raw]).hashes(), window).view(np.int64) if any(p["kind"] == 2 for p in places) else None
-                rows = {k: [] for k in ("g", "passage", "content", "hashes")}
+                rows = {k: [] for k in ("g", "passage", "passage2", "content", "hashes")}
                 for p in places:
                     if len(sent) > 1 << 20:
                         sent.clear()
-                    tag, at, n = (p["g"], p["passage"]), p["at"], p["n"]
+                    tag, at, n = (p["g"], p["passage"], p["passage2"]), p["at"], p["n"]
                     fresh = tag not in sent
                     sent.add(tag)
-                    rows["g"].append(p["g"])
-                    rows["passage"].append(p["passage"])
+                    for k, x in zip(("g", "passage", "passage2"), tag, strict=True):
+                        rows[k].append(x)
                     rows["content"].append(b" ".join(words[at : at + n + reach]) if fresh and p["kind"] == 1 else None)
-                    rows["hashes"].append(marks[at : at + n].tolist() if fresh and p["kind"] == 2 else None)
-                cols = [pa.array([doc] * len(rows["g"]), pa.int64()), pa.array(rows["g"], pa.int64()), pa.array(rows["passage"], pa.int64()), pa.array(rows["content"], pa.binary()), pa.array(rows["hashes"], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "g", "passage", "content", "hashes"])
+                    rows["hashes"].append([xxh3_128_digest(b" ".join(words[i : i + window])) for i in range(at, at + n)] if fresh and p["kind"] == 2 else None)
+                cols = [pa.array([doc] * len(rows["g"]), pa.int64()), *(pa.array(rows[k], pa.int64()) for k in ("g", "passage", "passage2")), pa.array(rows["content"], pa.binary()), pa.array(rows["hashes"], pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *rows])
 
-    sent = keyed.join(listed, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "places").mapInArrow(passages, "doc_id long, g long, passage long, content binary, hashes array<long>")
-    entries = written(sent.groupBy("g", "passage").agg(F.min("doc_id").alias("low"), F.max("content").alias("content"), F.max("hashes").alias("hashes")), "entries")
+    sent = keyed.join(listed, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "places").mapInArrow(passages, "doc_id long, g long, passage long, passage2 long, content binary, hashes array<binary>")
+    own = ["g", "passage", "passage2"]
+    entries = written(sent.groupBy(*own).agg(F.min("doc_id").alias("low"), F.max("content").alias("content"), F.max("hashes").alias("hashes")), "entries")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows = None, []
 
         def done():
-            marks = marked_windows([(low, content.split(b" ")) for _, low, content in rows], window)
-            return pa.RecordBatch.from_arrays([pa.array([own] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(marks, pa.list_(pa.int32()))], names=["g", "passage", "low", "marks"])
+            marks = marked_windows([(low, content.split(b" ")) for *_, low, content in rows], window)
+            return pa.RecordBatch.from_arrays([pa.array([own] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array(marks, pa.list_(pa.int32()))], names=["g", "passage", "passage2", "low", "marks"])
 
         for batch in batches:
-            for g, passage, low, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for g, *entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g != own:
                     if rows:
                         yield done()
                     own, rows = g, []
-                rows.append((passage, low, content))
+                rows.append(entry)
         if rows:
             yield done()
 
     n = partitions(docs.sparkSession)
-    walked = entries.where("content is not null").select("g", "passage", "low", "content").repartition(n, "g").sortWithinPartitions("g", "low", "passage").mapInArrow(shards, "g long, passage long, low long, marks array<int>")
+    walked = entries.where("content is not null").select(*own, "low", "content").repartition(n, "g").sortWithinPartitions("g", "low", "passage", "passage2").mapInArrow(shards, "g long, passage long, passage2 long, low long, marks array<int>")
 
-    single = entries.where("hashes is not null").select("g", "passage", "low", F.posexplode("hashes").alias("m", "window"))
+    single = entries.where("hashes is not null").select(*own, "low", F.posexplode("hashes").alias("m", "window"))
     least = single.groupBy("window").agg(F.min("low").alias("least"))
-    hits = single.join(least, "window").where("least < low").groupBy("g", "passage").agg(F.collect_list("m").alias("marks"))
-    alone = entries.where("hashes is not null").select("g", "passage", "low").join(hits, ["g", "passage"], "left")
+    hits = single.join(least, "window").where("least < low").groupBy(*own).agg(F.collect_list("m").alias("marks"))
+    alone = entries.where("hashes is not null").select(*own, "low").join(hits, own, "left")
 
     judged = walked.unionByName(alone)
-    varied = shared.where("kind > 0").select("doc_id", "text_key", "at", "n", "g", "passage").join(judged, ["g", "passage"])
+    varied = shared.where("kind > 0").select("doc_id", "text_key", "at", "n", *own).join(judged, own)
     later = varied.where("doc_id > low").select("doc_id", "text_key", F.col("at").alias("a"), (F.col("at") + F.col("n") + reach).alias("b"))
     first = varied.where("doc_id = low and size(marks) > 0").select("doc_id", "text_key", "at", F.explode("marks").alias("m")).select("doc_id", "text_key", (F.col("at") + F.col("m")).alias("a"), (F.col("at") + F.col("m") + window).alias("b"))
 

@@ -65,6 +65,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+#: A random number for each byte at each of so many places of a word; places beyond mix in how often these were passed.
+_PLACES = 32
+_BYTES = mix(np.arange(_PLACES * 256, dtype=_U) * _U(_BASE) + _U(0x5851F42D4C957F2D))
+
+
 class Words:
     """The whitespace-separated words of several texts.
 
@@ -92,17 +97,21 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
+        """A 64-bit hash of each word: random numbers of its bytes by their places, summed, and mixed with its length."""
         a = np.frombuffer(self.buf, dtype=np.uint8)
         out = np.empty(len(self), dtype=_U)
         lo = 0
         while lo < len(self):  # in pieces that end with a word, so that tables stay small
             hi = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + SLICE_BYTES, side="right")))
             s0, e0 = int(self.start[lo]), int(self.end[hi - 1])
-            sums = np.zeros(e0 - s0 + 1, dtype=_U)
-            np.cumsum((a[s0:e0].astype(_U) + _U(1)) * powers(e0 - s0), out=sums[1:])
             s, e = self.start[lo:hi] - s0, self.end[lo:hi] - s0
-            out[lo:hi] = mix((sums[e] - sums[s]) * inverse_powers(e0 - s0)[s])
+            place = np.arange(e0 - s0) - np.repeat(s, np.diff(np.append(s, e0 - s0)))
+            term = _BYTES[((place & (_PLACES - 1)) << 8) | a[s0:e0]]
+            if len(far := np.flatnonzero(place >= _PLACES)):
+                term[far] = mix(term[far] + (place[far] // _PLACES).astype(_U) * _U(_BASE))
+            sums = np.zeros(e0 - s0 + 1, dtype=_U)
+            np.cumsum(term, out=sums[1:])
+            out[lo:hi] = mix(sums[e] - sums[s] + (e - s).astype(_U))
             lo = hi
         return out
 

@@ -290,6 +290,21 @@ def test_substring_dedup(spark, docs, empty, window, gram, hot):
     assert substring.removed(empty, window=window).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2048, 1])
+def test_substring_tells_regular_words_and_passages_apart(spark, hot):
+    a, b = "a", "b"
+    for _ in range(10):  # regular sequences, on which hashes by powers modulo 2^64 meet
+        a, b = a + b, b + a
+    p, q = ["x"], ["y"]
+    for _ in range(6):
+        p, q = p + q, q + p
+    around = [f"w{i}" for i in range(30)]
+    pairs = [(1, " ".join([*around, a, *around])), (2, " ".join([*around, b, *around])), (3, " ".join([*around[:13], *p, *around[:13]])), (4, " ".join([*around[:13], *q, *around[:13]]))]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    got = rows(substring.removed(df, hot=hot))
+    assert got == brute_removed(pairs, 50) and [r[2] for r in got] == [0, 0, 0, 0]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_suffix_automaton_statistics(seed):
     r = random.Random(seed)
