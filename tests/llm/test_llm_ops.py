@@ -365,7 +365,6 @@ def line_brute(pairs):
                 nodes.setdefault(f, len(nodes))
                 occ.append((i, t, p, f))
     names = list(nodes)
-    prints = linededup.line_prints([x.encode() for x in names])
     root = list(range(len(names)))
 
     def find(x):
@@ -374,7 +373,7 @@ def line_brute(pairs):
         return x
 
     for i in range(1, len(names)):
-        for j in np.flatnonzero(linededup.near(prints[:i], prints[i], linededup.RADIUS, linededup.BLOCKS)).tolist():
+        for j in range(i):
             if linededup.similar(names[i], names[j]):
                 root[find(i)] = find(j)
     seen, drop = set(), {}
@@ -417,7 +416,9 @@ def test_line_dedup_finds_what_fingerprints_miss(spark):
         pairs += [(i, a), (i + 1, a[:at] + r.choice(["", "e", "ef"[:1 + len(a) // 10]]) + a[at + 1 :])]
     names = [linededup.normal(t) for _, t in pairs]
     prints = linededup.line_prints([x.encode() for x in names])
-    assert sum(not linededup.near(prints[i : i + 1], prints[i + 1], 10, 4)[0] and linededup.similar(names[i], names[i + 1]) for i in range(0, 120, 2)) > 20
+    apart = [int(a ^ b) for a, b in zip(prints[0:120:2], prints[1:120:2], strict=True)]
+    unmet = [x.bit_count() > 10 or all(x >> k & 0xFFFF for k in (0, 16, 32, 48)) for x in apart]
+    assert sum(x and linededup.similar(names[2 * i], names[2 * i + 1]) for i, x in enumerate(unmet)) > 20
     want = brute_groups(names, [i for i, _ in pairs], linededup.similar)
     got = {x.doc_id: x.text for x in linededup.dedup(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
     assert {i for i, t in got.items() if t} == set(want)
