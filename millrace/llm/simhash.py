@@ -208,6 +208,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+#: Radius of the pigeonring search where similarity alone counts.
+CLOSE = 2
 #: Bands of minima of shingle hashes, and minima a band.
 BANDS, WIDTH = 24, 5
 
@@ -234,7 +236,16 @@ def band_links(docs: DataFrame, text_col: str, words: int) -> DataFrame:
 
     entered = written(docs.select(F.xxhash64(text_col).alias("a"), keys(F.col(text_col)).alias("keys")), "bands").select("a", F.explode("keys").alias("key"))
     hubs = entered.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b <> most").select("key", "b")
-    return entered.join(hubs, "key").where("a <> b").select("a", "b")
+    return entered.join(written(hubs, "hubs"), "key").where("a <> b").select("a", "b")
+
+
+def print_links(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
+    """Links (a, b) of text keys (``nodes``: text_key, fp), whose components hold all pairs of texts within ``radius`` bits."""
+    first = written(nodes.groupBy("fp").agg(F.min("text_key").alias("b")), "firsts")
+    same = nodes.join(first, "fp").select(F.col("text_key").alias("a"), "b")
+    ends = [first.select(F.col("fp").alias(fp), F.col("b").alias(key)) for fp, key in (("a", "x"), ("b", "y"))]
+    apart = links(first.select("fp"), radius, segments).join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return same.unionByName(apart)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int | None = 8, segments: int = 3, check_words: int = 5, similar: float = 0.8) -> DataFrame:
@@ -243,14 +254,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Distinct texts are linked if their fingerprints are within ``radius`` bits
     (found by pigeonring filtering) and the Jaccard similarity of their shingles of
     ``check_words`` words is at least ``similar``. Without a radius (None) the latter
-    alone counts, and pairs are found by ``band_keys``. text_key is xxhash64 of the text
+    alone counts: pairs are found by pigeonring filtering within ``CLOSE`` bits and,
+    since pairs of that similarity differ in far more, by ``band_keys``. text_key is xxhash64 of the text
     (null: of nothing); of each connected group the row with the least (id, key)
     stays, null ids first. Wordless texts are alike; the empty table has no groups.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), fingerprint(F.col(text_col), words).alias("fp"))
     nodes = written(rows.groupBy("text_key", "fp").agg(F.min(F.struct("doc_id")).alias("low")), "texts")
     if radius is None:
-        placed = nodes.select("text_key", "fp").join(components(band_links(docs, text_col, check_words)).withColumnRenamed("node", "text_key"), "text_key")
+        met = print_links(nodes.select("text_key", "fp"), CLOSE, 3).unionByName(band_links(docs, text_col, check_words))
+        placed = nodes.select("text_key", "fp").join(components(met).withColumnRenamed("node", "text_key"), "text_key")
     else:
         joined = components(links(nodes, radius, segments)).withColumnRenamed("node", "fp")
         placed = nodes.select("text_key", "fp").join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -299,8 +312,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without all but one row of each group of ``similar_groups``, columns unchanged."""
-    key, keep_id, keep_key = (free_name(docs, n) for n in ("text_key", "keep_id", "keep_key"))
-    groups = similar_groups(docs, id_col, text_col, **how).withColumnsRenamed({"text_key": key, "keep_id": keep_id, "keep_key": keep_key})
-    rows = docs.withColumn(key, F.xxhash64(text_col)).join(groups, key)
-    stays = (F.col(key) == F.col(keep_key)) & F.col(id_col).eqNullSafe(F.col(keep_id))
-    return rows.where(stays).dropDuplicates([id_col, key]).select(*docs.columns)
+    key, own = (free_name(docs, n) for n in ("text_key", "id_key"))
+    groups = similar_groups(docs, id_col, text_col, **how)
+    id_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    keep = groups.select(F.col("keep_key").alias(key), id_key("keep_id").alias(own)).distinct()
+    # by id and text, so that copies of one text are not all of them one task's rows
+    rows = docs.withColumns({key: F.xxhash64(text_col), own: id_key(id_col)})
+    return rows.join(keep, [key, own], "left_semi").dropDuplicates([key, own]).select(*docs.columns)
