@@ -70,9 +70,10 @@ def components(links: DataFrame) -> DataFrame:
             edges = edges.join(moves[-1].select(F.col("node").alias(end), F.col("to").alias(f"to_{end}")), end)
         moved = edges.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b"))
         edges = written(moved.where("a <> b").distinct(), "links")
-    label = moves[0]
-    for later in moves[1:]:
-        then = later.select(F.col("node").alias("to"), F.col("to").alias("then"))
-        label = label.join(then, "to", "left").select("node", F.coalesce("then", "to").alias("to"))
+    label = moves.pop()
+    while moves:  # from the last round, which has the fewest nodes, to the first, which has all
+        then = label.select(F.col("node").alias("to"), F.col("to").alias("then"))
+        label = moves.pop().join(then, "to", "left").select("node", F.coalesce("then", "to").alias("to"))
+    label = written(label, "labels")
     low = written(label.groupBy("to").agg(F.min("node").alias("component")), "components")
     return label.join(low, "to").select("node", "component")

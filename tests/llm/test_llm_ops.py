@@ -441,6 +441,23 @@ def test_large_runs_are_cut_into_chunks(spark, monkeypatch):
     assert rows(linededup.dedup(df).select("doc_id", "text")) == line_brute(pairs)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_one_line_against_many(monkeypatch, seed):
+    monkeypatch.setattr(linededup, "FEW", 1)
+    r = random.Random(seed)
+    base = "".join(r.choice("abcé ") for _ in range([1, 40, 63, 64, 65, 128, 130, 300, 500, 700, 20, 90][seed])) or "a"
+    lines = [base]
+    for _ in range(60):
+        x = list(base)
+        for _ in range(r.randrange(len(base) // 2 + 2)):
+            at = r.randrange(len(x) + 1)
+            x[at : at + r.randint(0, 1)] = r.choice(["", "x", "a"])
+        lines.append("".join(x) or "b")
+    cell, others = linededup.Cell(lines), np.arange(1, len(lines))
+    most = np.array([r.randrange(len(base) + 2) for _ in others])
+    assert cell.within(0, others, most).tolist() == [linededup.within(base, lines[x], m) for x, m in zip(others.tolist(), most.tolist(), strict=True)]
+
+
 @pytest.mark.parametrize("seed", range(50))
 def test_edit_distance(seed):
     r = random.Random(seed)
