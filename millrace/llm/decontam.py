@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import written
 
 WINDOW, SHINGLE = 10, 5
+#: Tasks, at least, that the places of one shingle are dealt to.
+SPLIT = 16
 #: What separates words, after A-Z became a-z: ASCII save digits and letters.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -87,7 +89,9 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_text:
     grams = [_gram("words", F.col("pos"), q) for q in sorted(sizes)] or [F.lit(None).cast("string")]
     looked = placed.select("rid", "n", "pos", (F.explode(F.array(*grams)) if len(grams) > 1 else grams[0]).alias("gram"))
     known = written(tokens.select("gram").distinct(), "grams")
-    postings = written(looked.join(known, "gram").distinct(), "postings")
+    # a hot shingle's rows are dealt to SPLIT tasks; only the items' shingles are repeated for it
+    salted = known.select("gram", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("salt"))
+    postings = written(looked.withColumn("salt", F.pmod(F.hash("rid", "pos"), F.lit(SPLIT))).join(salted, ["gram", "salt"]).drop("salt").distinct(), "postings")
 
     frequency = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     # an order by rarity; a shingle that no document has rules its window out

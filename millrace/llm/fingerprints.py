@@ -34,6 +34,8 @@ from millrace.llm.textops import ASCII_LOWER, Words, bit_sums, mix, shingle_inde
 WEIGHTS = (1, 2, 4)
 #: Terms whose bits are laid out at once.
 STEP = 1 << 16
+#: Fingerprints of one key from which it is cut into chunks.
+RUN = 4096
 _U = np.uint64
 
 
@@ -128,17 +130,17 @@ def near_counts(prints: DataFrame, queries: DataFrame, radius: int, blocks: int
         own, rows = None, []
 
         def out():
-            halves, n = _halves([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+            halves, n = _halves([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)  # a query away from its chunk counts 0
             asked = [i for i, r in enumerate(rows) if r[2]]
             found = [int(n[_hits(halves ^ halves[i], masks, own[0], radius)[0]].sum()) for i in asked]
             return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in asked], pa.string()), pa.array(found, pa.int64())], names=["fp", "n"])
 
         for batch in batches:
-            for tab, key, fp, n, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (tab, key) != own:
+            for tab, key, part, fp, n, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (tab, key, part) != own:
                     if rows:
                         yield out()
-                    own, rows = (tab, key), []
+                    own, rows = (tab, key, part), []
                 rows.append((fp, n, asks))
         if rows:
             yield out()
@@ -147,8 +149,13 @@ def near_counts(prints: DataFrame, queries: DataFrame, radius: int, blocks: int
     counted = prints.select(F.col(fp_col).alias("fp")).where("fp is not null").groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     every = asked.join(counted, "fp", "full").select("fp", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("asks", F.lit(False)).alias("asks"))
     entries = every.mapInArrow(_permuted(masks), "tab int, key long, fp string, n long, asks boolean")
-    wanted = entries.where("asks").select("tab", "key").distinct()
-    met = entries.join(wanted, ["tab", "key"]).repartition(partitions(prints.sparkSession), "tab", "key").sortWithinPartitions("tab", "key", "fp")
+    # keys of many fingerprints are cut into chunks, each of which meets all queries of the key
+    wanted = entries.groupBy("tab", "key").agg(F.max("asks").alias("asked"), F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("chunks")).where("asked").drop("asked")
+    chunk = F.pmod(F.hash("fp"), F.col("chunks"))
+    parts = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(chunk))
+    dealt = entries.join(wanted, ["tab", "key"]).withColumn("chunk", chunk).withColumn("part", F.explode(parts))
+    own = dealt.select("tab", "key", "part", "fp", F.when(F.col("part") == F.col("chunk"), F.col("n")).otherwise(0).alias("n"), "asks")
+    met = own.repartition(partitions(prints.sparkSession), "tab", "key", "part").sortWithinPartitions("tab", "key", "part", "fp")
     return met.mapInArrow(summed, "fp string, n long").groupBy("fp").agg(F.sum("n").alias("n_near"))
 
 

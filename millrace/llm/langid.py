@@ -29,8 +29,8 @@ from millrace.llm.shared import received, sent
 from millrace.llm.textops import slices
 
 BUCKETS, WIDTH = 1 << 14, 16
-#: Labelled rows that a fit takes at most, about, and the longest text among them in bytes.
-SAMPLE, SAMPLE_BYTES = 2000, 1 << 13
+#: Labelled rows that a fit takes, about, whatever their length: executors send their bucket counts.
+SAMPLE = 3000
 EPOCHS, BATCH, RATE = 12, 32, 0.5
 #: Part of the sample for calibration; share of its texts that may be rejected; no threshold goes above CEILING.
 HELD, REJECT, CEILING = 0.2, 0.001, 0.5
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model from labelled rows; executors turn the sampled texts into bucket counts. None without any."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null")
     rates = class_rates(rows, "l", sample)
-    taken = rows.where(below_rate(F.col("i"), F.col("l"), rates)).where(f"t is not null and octet_length(t) <= {SAMPLE_BYTES}")
+    taken = rows.where(below_rate(F.col("i"), F.col("l"), rates)).where("t is not null")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,10 +11,12 @@ beginning and last byte; within those a word has probability (c + 1) over the
 class's sum of it, where each class has room for one unknown word.
 
 Biases are set so that the untrained model is the add-one unigram model. Then
-each trainer takes gradient steps (Adagrad by rows) over its share of all training
-texts, and the trainers' rows are averaged, weighted by how often each used a row:
-``ROUNDS`` such rounds. There are a few trainers a core, so what they send does
-not grow with the partitions. Scoring works on sparse rows in numpy batches.
+come ``ROUNDS`` rounds, each over another share of the training texts: every trainer
+takes gradient steps (Adagrad by rows) over about ``TRAINER`` tokens of that share, and
+the trainers' rows are averaged, weighted by how often each used a row, as are the
+sums of squares that later rounds go on from. Which texts a trainer gets, and in which
+order, follows from ids and texts alone, so scores don't depend on the cores, and a
+trainer's work doesn't grow with the input. Scoring works on sparse rows in numpy batches.
 
 Counts of all words are kept as a table. Only ``KNOWN`` of the commonest at
 most are broadcast; counts of other words reach a text's row by a join.
@@ -45,7 +47,7 @@ TOP, SLOTS, RARE, KNOWN = 3072, 96, 30, 1 << 18
 CLASSES = TOP // SLOTS + RARE
 #: Hashed rows of each class feature and of the feature within classes.
 ROWS, INNER_ROWS = 1 << 12, 1 << 12
-ROUNDS, STEP, RATE, TRAINERS_A_CORE, SHORT = 1, 1 << 13, 0.1, 4, 12
+ROUNDS, TRAINER, STEP, RATE, SHORT = 4, 1 << 22, 1 << 13, 0.1, 12
 #: SHORT: runs of rows up to this long are summed side by side.
 #: Entries of a counting task before it hands them on.
 FLUSH = 1 << 20
@@ -192,13 +194,13 @@ def _take(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of logits and its row sums; should float32 overflow, z is capped in place."""
+    """exp of logits and its row sums; should float32 not hold them, rows of z are first shifted in place to a maximum of zero."""
     ones = np.ones(z.shape[1], np.float32)
     with np.errstate(over="ignore"):
         e = np.exp(z)
     total = e @ ones
-    if not np.isfinite(total).all():
-        np.minimum(z, 60, out=z)
+    if not (np.isfinite(total) & (total > 1e-30)).all():
+        z -= z.max(1, keepdims=True)
         e = np.exp(z)
         total = e @ ones
     return e, total
@@ -286,20 +288,24 @@ def _lexicon(m: Model) -> tuple[Lexicon, int]:
 
 
 def train(texts: DataFrame, m: Model, rounds: int = ROUNDS) -> Model:
-    """Rounds of distributed gradient passes over all rows of column ``text``."""
+    """Rounds of distributed gradient passes, which together take each row of column ``text`` once (other columns deal them)."""
     spark = texts.sparkSession
-    trainers = TRAINERS_A_CORE * spark.sparkContext.defaultParallelism
+    trainers = max(1, round(m.n / rounds / TRAINER))
     blocks = 16
-    for _ in range(rounds):
-        shared = sent(spark, m)  # KNOWN words and fixed tables, whatever the data
+    order = F.xxhash64(*texts.columns)
+    squares = [np.zeros(n, np.float32) for n in (4 * ROWS, INNER_ROWS)]
+    for turn in range(rounds):
+        shared = sent(spark, (m, squares))  # KNOWN words and fixed tables, whatever the data
 
         def passes(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from dataclasses import replace
 
-            first = received(shared)
+            from pyspark import TaskContext
+
+            first, before = received(shared)
             own = replace(first, rows=first.rows.copy(), rows_in=first.rows_in.copy())
             lexicon, end = _lexicon(own)
-            state = [np.zeros(n, np.float32) for n in (4 * ROWS, 4 * ROWS, INNER_ROWS, INNER_ROWS)]
+            state = [before[0].copy(), np.zeros(4 * ROWS, np.float32), before[1].copy(), np.zeros(INNER_ROWS, np.float32)]
 
             def fed():
                 for batch in batches:
@@ -308,32 +314,35 @@ def train(texts: DataFrame, m: Model, rounds: int = ROUNDS) -> Model:
                         yield coded(lexicon, end, raw[a:b])[:2]
 
             gradient_pass(own, fed(), state)
-            for kind, new, old, used in ((0, own.rows, first.rows, state[1]), (1, own.rows_in, first.rows_in, state[3])):
-                moved = (new - old) * used[:, None]
-                for k, part in enumerate(np.array_split(np.arange(len(used)), blocks)):
-                    data = np.concatenate((used[part, None], moved[part]), axis=1).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.array([kind * blocks + k], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["block", "data"])
+            trainer = TaskContext.get().partitionId()
+            for kind, new, old, square, used in ((0, own.rows, first.rows, state[0] - before[0], state[1]), (1, own.rows_in, first.rows_in, state[2] - before[1], state[3])):
+                moved = np.concatenate((used[:, None], (square * used)[:, None], (new - old) * used[:, None]), axis=1).astype(np.float32)
+                for k, part in enumerate(np.array_split(moved, blocks)):
+                    yield pa.RecordBatch.from_arrays([pa.array([kind * blocks + k], pa.int32()), pa.array([trainer], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "trainer", "data"])
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
-                for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for block, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     x = np.frombuffer(data, np.float32)
                     sums[block] = sums[block] + x if block in sums else x.copy()
             for block, x in sums.items():
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "data"])
 
-        schema = "block int, data binary"
-        moves = texts.select("text").coalesce(trainers).mapInArrow(passes, schema)
-        some = moves.repartition(min(partitions(spark), 2 * blocks), "block").mapInArrow(summed, schema)
-        got = dict(sorted((r.block, np.frombuffer(r.data, np.float32)) for r in some.collect()))  # the tables' size
-        rows, rows_in = m.rows.copy(), m.rows_in.copy()
-        for kind, table, width in ((0, rows, CLASSES), (1, rows_in, SLOTS)):
-            parts = [got[kind * blocks + k].reshape(-1, width + 1) for k in range(blocks) if kind * blocks + k in got]
+        own = texts.withColumn("place", order).where(F.pmod("place", F.lit(rounds)) == turn)
+        dealt = own.repartition(trainers, F.shiftright("place", 8)).sortWithinPartitions("place").select("text")
+        moves = dealt.mapInArrow(passes, "block int, trainer int, data binary")
+        some = moves.repartition(min(partitions(spark), 2 * blocks), "block").sortWithinPartitions("block", "trainer").mapInArrow(summed, "block int, data binary")
+        got = dict((r.block, np.frombuffer(r.data, np.float32)) for r in some.collect())  # the tables' size
+        tables = [m.rows.copy(), m.rows_in.copy()]
+        for kind, (table, width) in enumerate(zip(tables, (CLASSES, SLOTS), strict=True)):
+            parts = [got[kind * blocks + k].reshape(-1, width + 2) for k in range(blocks) if kind * blocks + k in got]
             if parts:
                 x = np.concatenate(parts)
-                table += x[:, 1:] / np.maximum(x[:, :1], 1)
-        m = Model(**{**m.__dict__, "rows": rows, "rows_in": rows_in})
+                times = np.maximum(x[:, 0], 1)
+                squares[kind] = squares[kind] + x[:, 1] / times
+                table += x[:, 2:] / times[:, None]
+        m = Model(**{**m.__dict__, "rows": tables[0], "rows_in": tables[1]})
         shared.unpersist()
     return m
 
@@ -375,5 +384,5 @@ def fit_and_score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: s
     counts = written(count_words(own), "counts")
     m = untrained(counts)
     if m.n:
-        m = train(own, m)
+        m = train(own.select("doc_id", "text"), m)
     return score(rows, m, counts).withColumn("train_tokens", F.lit(m.n).cast("long"))

@@ -14,9 +14,12 @@ _own: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset, as in tests, under a temporary folder."""
+    """A new path under spark.checkpoint.dir. Where that is unset, a temporary folder will do in local mode alone: executors
+    of a cluster would each write to their own disk."""
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='millrace-')}")
         root = _own[0]

@@ -11,7 +11,7 @@ moves no score.
 
 Defined results: a null or wordless text is scored by the bias alone; labels
 other than 0 and 1 are not learnt from; labels of the same document must agree
-or are learnt as separate rows; without labels of both kinds every score is 0;
+or are learnt as separate rows; sampled rows of equal features and label count once; without labels of both kinds every score is 0;
 long texts are read whole; repeated rows get equal scores; other columns are not
 read; an empty table gives no rows.
 """
@@ -33,8 +33,8 @@ from millrace.llm.textops import slices
 
 #: Byte lengths of word beginnings that are features.
 PREFIXES = (4, 5, 6)
-#: Labelled rows that a fit takes at most, about, by label, and the longest text among them in bytes.
-SAMPLE, SAMPLE_BYTES = {0: 5000, 1: 2500}, 1 << 14
+#: Labelled rows that a fit takes, about, by label, whatever their length: executors send the hashes of their features.
+SAMPLE = {0: 5000, 1: 2500}
 #: A feature is in at least so many sampled texts; at most so many features, the commonest first, are fitted.
 MIN_TEXTS, MAX_FEATURES = 3, 1 << 18
 #: A feature is fitted only if its share of toxic texts is so many standard errors off the mean.
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)")
     quotas = sample or SAMPLE
     taken = own.where(below_rate(F.col("i"), F.col("y"), class_rates(own, "y", quotas))).limit(2 * sum(quotas.values()))
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(f"t is not null and octet_length(t) <= {SAMPLE_BYTES}")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

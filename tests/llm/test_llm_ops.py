@@ -242,7 +242,7 @@ def test_next_of_the_row_before_null_ids(spark):
 
 
 @pytest.mark.parametrize("radius,key_blocks", [(0, 1), (3, 1), (3, 2)])
-def test_permuted_tables_find_all_near_fingerprints(spark, radius, key_blocks):
+def test_permuted_tables_find_all_near_fingerprints(spark, monkeypatch, radius, key_blocks):
     r = random.Random(radius)
     prints = [r.getrandbits(128) for _ in range(40)]
     prints += [p ^ sum(1 << b for b in r.sample(range(128), r.randint(1, 5))) for p in prints for _ in range(3)]
@@ -252,10 +252,18 @@ def test_permuted_tables_find_all_near_fingerprints(spark, radius, key_blocks):
     assert got == want
     some = [h for i, h in enumerate([*hexes, hexes[0]]) if i % 7 == 0] + ["f" * 32]
     df, asked = (spark.createDataFrame([(h,) for h in x], "fingerprint string") for x in ([*hexes, hexes[0], None], [*some, None]))
+    monkeypatch.setattr(fingerprints, "RUN", 3 * radius + 2)
     counts = dict(map(tuple, fingerprints.near_counts(df, asked, radius, key_blocks=key_blocks).collect()))
     assert counts == {q: sum((int(q, 16) ^ int(h, 16)).bit_count() <= radius for h in [*hexes, hexes[0]]) for q in set(some)}
 
 
+def test_logits_beyond_float32():
+    z = np.array([[500.0, 0.0, 1.0], [-400.0, -401.0, -400.0], [1.0, 2.0, 3.0]], np.float32)
+    want = np.exp(z.astype(np.float64) - z.max(1, keepdims=True))
+    e, total = lm._exp(z)
+    assert np.allclose(e / total[:, None], want / want.sum(1, keepdims=True), atol=1e-6) and np.isfinite(np.log(total)).all()
+
+
 def test_equal_and_wordless_fingerprints(docs):
     got = {(r.text, r.f) for r in docs.select("text", fingerprints.fingerprint(F.col("text")).alias("f")).collect()}
     assert len({f for t, f in got if t == BASE}) == 1
