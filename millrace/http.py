@@ -1,6 +1,8 @@
 """A JSON interface over HTTP: tables, layout, statistics and statements.
 
-GET /api/tables, /api/layout/<table>, /api/stats; POST /api/query {"sql": ...}.
+GET /api/tables, /api/layout/<table> (also as /api/btree/<table>, with its files as the
+leaves of one level), /api/stats; POST /api/query {"sql": ...}. An answer holds all rows of
+a statement, so page with LIMIT and OFFSET where they are many.
 A statement's error is an answer, {"ok": false, "error": "Kind: text"}, with status 200.
 """
 
@@ -12,22 +14,27 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from millrace.errors import SQLError
 from millrace.session import Database
 
-#: Rows that one answer carries at most; ``truncated`` tells that there are more.
-MOST_ROWS = 10_000
 PAGE = b"""<!doctype html><meta charset=utf-8><title>millrace</title><textarea id=q rows=6 cols=80></textarea><br><button onclick="fetch('/api/query',{method:'POST',body:JSON.stringify({sql:q.value})}).then(r=>r.json()).then(r=>o.textContent=JSON.stringify(r,null,1))">Run</button><pre id=o></pre>"""
 
 
 def run_query(db: Database, sql: str) -> dict:
     try:
-        results = []
-        for r in db.execute_script(sql):
-            rows = r.given if r.given is not None else [tuple(x) for x in r.df.limit(MOST_ROWS + 1).collect()] if r.df is not None else []
-            results.append({"columns": r.cols, "rows": rows[:MOST_ROWS], "truncated": len(rows) > MOST_ROWS, "message": r.message, "plan": r.plan, "elapsed_ms": r.elapsed_ms})
+        if not sql.strip():
+            return {"ok": False, "error": "empty query"}
+        results = [{"cols": r.cols, "columns": r.cols, "rows": [list(x) for x in r.rows], "message": r.message, "plan": r.plan, "elapsed_ms": r.elapsed_ms} for r in db.execute_script(sql)]
         return {"ok": True, "results": results}
     except SQLError as e:
         return {"ok": False, "error": f"{type(e).__name__}: {e}"}
 
 
+def levels(layout: dict) -> dict:
+    """A layout as a tree: a root over the files, if there are several, and the files as leaves."""
+    files = layout["files"]
+    leaves = [{"kind": "leaf", "count": f["rows"], "first": f["low"], "last": f["high"], "file": f["file"]} for f in files]
+    root = [{"kind": "internal", "keys": [f["low"] for f in files[1:]], "children": list(range(len(files)))}]
+    return {"table": layout["table"], "levels": [root, leaves] if len(files) > 1 else [leaves]}
+
+
 def make_server(db: Database, host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTPServer:
     """A server with a thread a request; they take turns on the one session."""
 
@@ -50,9 +57,11 @@ def make_server(db: Database, host: str = "127.0.0.1", port: int = 0) -> Threadi
                 if self.path == "/api/tables":
                     return self.send({"tables": db.tables()})
                 if self.path == "/api/stats":
-                    return self.send(db.stats())
+                    return self.send(db.stats() | {"pager": db.storage(), "wal_bytes": db.log_bytes()})
                 if self.path.startswith("/api/layout/"):
                     return self.send(db.layout(self.path.rpartition("/")[2]))
+                if self.path.startswith("/api/btree/"):
+                    return self.send(levels(db.layout(self.path.rpartition("/")[2])))
             except SQLError as e:
                 return self.send({"error": f"{type(e).__name__}: {e}"}, 404)
             self.send({"error": "not found"}, 404)

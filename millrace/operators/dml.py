@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,8 @@ from millrace.types import coerce, coerce_column
 
 #: Rows from the driver whose keys are looked up by a pushed-down filter; more keys are joined.
 LOOKUP = 1000
+#: A bulk row's task and place in it, and the number that it gets.
+PLACE, NUMBER, TASK = "__place", "__number", "__task"
 
 
 def insert_rows(store: Store, name: str, t: Table, columns: list[str] | None, rows: list) -> Table:
@@ -56,6 +58,23 @@ def insert_rows(store: Store, name: str, t: Table, columns: list[str] | None, ro
     return replace(t, files=t.files + files, rows=t.rows + len(made), next_rowid=following)
 
 
+def _numbered(rows: DataFrame, counts: list, start: int, dense: bool) -> DataFrame:
+    """Rows with contiguous numbers from ``start`` on, by task and place."""
+    if not counts:
+        return rows.withColumn(NUMBER, F.lit(None).cast("long"))
+    begins, at = {}, start
+    for r in counts:
+        begins[r.task] = at - (r.low if dense else 0)
+        at += r.n
+    task = F.shiftright(PLACE, 33)
+    begin = rows.sparkSession.createDataFrame(list(begins.items()), f"{TASK} long, {NUMBER} long")  # one row a task
+    tagged = rows.withColumn(TASK, task).join(F.broadcast(begin), TASK)
+    if dense:
+        return tagged.withColumn(NUMBER, F.col(NUMBER) + F.col(PLACE)).drop(TASK)
+    place = F.row_number().over(Window.partitionBy(TASK).orderBy(PLACE))  # only where rows with and without keys are mixed in a task
+    return tagged.withColumn(NUMBER, F.col(NUMBER) + place - 1).drop(TASK)
+
+
 def insert_frame(store: Store, name: str, t: Table, rows: DataFrame) -> Table:
     """Append a DataFrame of any size; it has the table's columns, and may lack the key or hold null keys."""
     _, bound = bind(rows, name, 0, False)
@@ -63,16 +82,23 @@ def insert_frame(store: Store, name: str, t: Table, rows: DataFrame) -> Table:
         if c not in t.names:
             raise ExecutionError(f"unknown column {c}")
     picks = [coerce_column(F.col(f"`{c}`"), bound.columns[c][1], k, c).alias(c) if c in bound.columns else F.lit(None).cast(t.schema[c].dataType).alias(c) for c, k in t.columns]
-    rows = rows.select(*picks)
-    start = t.next_rowid
-    if t.pk is None:
-        rows = rows.withColumn(ROWID, F.monotonically_increasing_id() + start)
+    # the input is read once: its rows are written with their places, and get their numbers from there
+    raw = store.stage(rows.select(*picks, F.monotonically_increasing_id().alias(PLACE)))
+    rows, start, key = store.staged(raw), t.next_rowid, t.pk
+    if key is not None and key in bound.columns:
+        top = rows.agg(F.max(key)).first()[0]
+        start = max(start, (top if top is not None else 0) + 1)
+    without = rows if key is None else rows.where(F.col(key).isNull())
+    task = F.shiftright(PLACE, 33)
+    counts = sorted(without.groupBy(task.alias("task")).agg(F.min(PLACE).alias("low"), F.max(PLACE).alias("high"), F.count(F.lit(1)).alias("n")).collect())  # one row a task of the input
+    numbered = _numbered(without, counts, start, all(r.high - r.low + 1 == r.n for r in counts))
+    if key is None:
+        made = numbered.withColumnRenamed(NUMBER, ROWID)
     else:
-        if t.pk in bound.columns:
-            top = rows.agg(F.max(t.pk)).first()[0]
-            start = max(start, (top if top is not None else 0) + 1)
-        rows = rows.withColumn(t.pk, F.coalesce(F.col(t.pk), F.monotonically_increasing_id() + start)).withColumn(ROWID, F.col(t.pk))
-    files = store.write(name, t, rows)
+        given = rows.where(F.col(key).isNotNull()).withColumn(ROWID, F.col(key))
+        made = given.unionByName(numbered.withColumn(key, F.col(NUMBER)).withColumnRenamed(NUMBER, ROWID))
+    files = store.write(name, t, made)
+    store.delete(raw)
     added = replace(t, files=files, rows=0)
     new = store.read(added)
     if t.pk is not None:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,6 +158,16 @@ def ordered(a: str, b: str) -> None:
         raise CompileError(f"cannot order {a} and {b}")
 
 
+def file_place(df: DataFrame) -> Column:
+    """A row's file and place in it, which filters can pass on their way to the scan; a running number where no files are read."""
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    try:
+        _ = df.select(place).schema
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    return place
+
+
 def bind(df: DataFrame, alias: str, place: int, with_rowid: bool) -> tuple[DataFrame, Bound]:
     """A table's DataFrame under internal names; a row id is kept, or made for files that have none, where needed."""
     rowid, columns, picks = f"r{place}", {}, []
@@ -167,10 +178,14 @@ def bind(df: DataFrame, alias: str, place: int, with_rowid: bool) -> tuple[DataF
         columns[f.name.lower()] = (inner, kind_of(f.dataType))
         picks.append(F.col(f"`{f.name}`").alias(inner))
     if with_rowid:
-        picks.append((F.col(ROWID) if ROWID in df.columns else F.monotonically_increasing_id()).alias(rowid))
+        picks.append((F.col(ROWID) if ROWID in df.columns else file_place(df)).alias(rowid))
     return df.select(*picks), Bound(alias, columns, rowid)
 
 
+#: The largest LIMIT or OFFSET of one plan node.
+MOST = 2**31 - 1
+
+
 @dataclass
 class Lowered:
     df: DataFrame
@@ -237,10 +252,14 @@ def lower_select(s: ast.Select, open_table: Callable[[str], DataFrame]) -> Lower
         by = [F.col(k if isinstance(k, str) else f"k{n}") for n, k in enumerate(keys)]
         by = [c.desc_nulls_last() if d else c.asc_nulls_first() for c, d in zip(by, directions, strict=True)]
         df = df.orderBy(*by, *(rowids if paged else []))
-    if s.offset:
-        df = df.offset(min(s.offset, 2**31 - 1))
-    if s.limit is not None:
-        df = df.limit(min(s.limit, 2**31 - 1))
+    left = s.offset
+    while left > 0:  # offsets add up
+        df = df.offset(min(left, MOST))
+        left -= MOST
+    if s.limit is not None and s.limit <= MOST:
+        df = df.limit(s.limit)
+    elif s.limit is not None and df.count() > s.limit:
+        raise ExecutionError(f"LIMIT above {MOST} can't cut more rows than that")
     return Lowered(df.select(*names), labels)
 
 
