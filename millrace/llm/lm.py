@@ -316,22 +316,25 @@ def train(texts: DataFrame, m: Model, rounds: int = ROUNDS) -> Model:
             gradient_pass(own, fed(), state)
             trainer = TaskContext.get().partitionId()
             for kind, new, old, square, used in ((0, own.rows, first.rows, state[0] - before[0], state[1]), (1, own.rows_in, first.rows_in, state[2] - before[1], state[3])):
-                moved = np.concatenate((used[:, None], (square * used)[:, None], (new - old) * used[:, None]), axis=1).astype(np.float32)
-                for k, part in enumerate(np.array_split(moved, blocks)):
-                    yield pa.RecordBatch.from_arrays([pa.array([kind * blocks + k], pa.int32()), pa.array([trainer], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "trainer", "data"])
+                for k, part in enumerate(np.array_split(np.arange(len(used)), blocks)):
+                    at = part[used[part] > 0]  # rows that this trainer moved
+                    moved = np.concatenate((used[at, None], (square[at] * used[at])[:, None], (new[at] - old[at]) * used[at, None]), axis=1).astype(np.float32)
+                    cols = ([kind * blocks + k], pa.int32()), ([trainer], pa.int32()), ([(at - part[0]).astype(np.int32).tobytes()], pa.binary()), ([moved.tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in cols], names=["block", "trainer", "at", "data"])
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
-                for block, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    x = np.frombuffer(data, np.float32)
-                    sums[block] = sums[block] + x if block in sums else x.copy()
+                for block, at, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                    size, width = ((4 * ROWS, CLASSES), (INNER_ROWS, SLOTS))[block // blocks]
+                    own = sums.setdefault(block, np.zeros((size // blocks, width + 2), np.float32))
+                    own[np.frombuffer(at, np.int32)] += np.frombuffer(data, np.float32).reshape(-1, width + 2)
             for block, x in sums.items():
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "data"])
 
         own = texts.withColumn("place", order).where(F.pmod("place", F.lit(rounds)) == turn)
-        dealt = own.repartition(trainers, F.shiftright("place", 8)).sortWithinPartitions("place").select("text")
-        moves = dealt.mapInArrow(passes, "block int, trainer int, data binary")
+        dealt = own.repartitionById(trainers, F.pmod(F.shiftright("place", 8), F.lit(trainers)).cast("int")).sortWithinPartitions("place").select("text")
+        moves = dealt.mapInArrow(passes, "block int, trainer int, at binary, data binary")
         some = moves.repartition(min(partitions(spark), 2 * blocks), "block").sortWithinPartitions("block", "trainer").mapInArrow(summed, "block int, data binary")
         got = dict((r.block, np.frombuffer(r.data, np.float32)) for r in some.collect())  # the tables' size
         tables = [m.rows.copy(), m.rows_in.copy()]
