@@ -461,9 +461,36 @@ def test_one_line_against_many(monkeypatch, seed):
             at = r.randrange(len(x) + 1)
             x[at : at + r.randint(0, 1)] = r.choice(["", "x", "a"])
         lines.append("".join(x) or "b")
-    cell, others = linededup.Cell(lines), np.arange(1, len(lines))
-    most = np.array([r.randrange(len(base) + 2) for _ in others])
-    assert cell.within(0, others, most).tolist() == [linededup.within(base, lines[x], m) for x, m in zip(others.tolist(), most.tolist(), strict=True)]
+    most = [r.randrange(len(base) + 2) for _ in lines[1:]]
+    assert linededup.near([(base, x) for x in lines[1:]], most).tolist() == [linededup.within(base, x, m) for x, m in zip(lines[1:], most, strict=True)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cells_together_equal_cells_alone(seed):
+    r = random.Random(seed)
+    cells = []
+    for _ in range(30):
+        words = [f"{r.choice('abcé')}word{r.randrange(60)}" for _ in range(r.choice([3, 12, 60]))]
+        lines = [" ".join(r.choice("xyz") if r.random() < r.choice([0.05, 0.3]) else w for w in words) for _ in range(r.randrange(2, 9))]
+        cells.append((lines, [[r.randrange(3), 7] for _ in lines], None))
+    cells.append((cells[0][0], cells[0][1], 7))
+    found = linededup.cell_links(cells, 0.8)
+    assert found == [linededup.cell_links([c], 0.8)[0] for c in cells] and any(found)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_edit_distance_of_long_lines(monkeypatch, seed):
+    monkeypatch.setattr(linededup, "PAUSE", 1 + seed % 5)
+    r = random.Random(seed)
+    a = "".join(r.choice("abcdé ") for _ in range(r.randint(30, 150)))
+    b = "".join(x for c in a for x in r.choices([c, "x", "", c + "y"], [1 - 0.1 * (seed % 6), 0.1, 0.1, 0.1])[0])
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        d, e = [i], d
+        for j, y in enumerate(b, 1):
+            d.append(min(e[j] + 1, d[j - 1] + 1, e[j - 1] + (x != y)))
+    for k in {0, d[-1] - 1, d[-1], d[-1] + 1, len(a) // 5}:
+        assert linededup.within(a, b, k) == (d[-1] <= k) == linededup.columns(a, b, k)
 
 
 @pytest.mark.parametrize("seed", range(50))
