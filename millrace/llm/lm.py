@@ -29,6 +29,7 @@ time and score alike; long texts are taken whole; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import partitions, received, sent, written
+from millrace.llm.shared import partitions, received, sent, tidied, written
 from millrace.llm.textops import ASCII_LOWER, mix, slices, text_bytes
 
 END = b" "  # no word holds a blank
@@ -50,7 +51,7 @@ ROWS, INNER_ROWS = 1 << 12, 1 << 12
 ROUNDS, TRAINER, STEP, RATE, SHORT = 4, 1 << 22, 1 << 13, 0.1, 12
 #: SHORT: runs of rows up to this long are summed side by side.
 #: Entries of a counting task before it hands them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 _U = np.uint64
 
 
@@ -93,9 +94,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         counts: Counter = Counter()
 
         def rows():
-            got = list(counts.items())
-            for a in range(0, len(got), 1 << 16):
-                part = got[a : a + (1 << 16)]
+            for part in itertools.batched(counts.items(), 1 << 14):
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], names=["word", "c"])
             counts.clear()
 
@@ -107,7 +106,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             counts[END] += len(batch)
         yield from rows()
 
-    return texts.select("text").mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(tidied(counted), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def untrained(counts: DataFrame) -> Model:
@@ -334,8 +333,8 @@ def train(texts: DataFrame, m: Model, rounds: int = ROUNDS) -> Model:
 
         own = texts.withColumn("place", order).where(F.pmod("place", F.lit(rounds)) == turn)
         dealt = own.repartitionById(trainers, F.pmod(F.shiftright("place", 8), F.lit(trainers)).cast("int")).sortWithinPartitions("place").select("text")
-        moves = dealt.mapInArrow(passes, "block int, trainer int, at binary, data binary")
-        some = moves.repartition(min(partitions(spark), 2 * blocks), "block").sortWithinPartitions("block", "trainer").mapInArrow(summed, "block int, data binary")
+        moves = dealt.mapInArrow(tidied(passes), "block int, trainer int, at binary, data binary")
+        some = moves.repartition(min(partitions(spark), 2 * blocks), "block").sortWithinPartitions("block", "trainer").mapInArrow(tidied(summed), "block int, data binary")
         got = dict((r.block, np.frombuffer(r.data, np.float32)) for r in some.collect())  # the tables' size
         tables = [m.rows.copy(), m.rows_in.copy()]
         for kind, (table, width) in enumerate(zip(tables, (CLASSES, SLOTS), strict=True)):
@@ -373,7 +372,7 @@ def score(docs: DataFrame, m: Model, counts: DataFrame) -> DataFrame:
 
     names = ["doc_id", "rid", "n_tokens", "known", "base", "model", "missing"]
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce("text", F.lit("\0")))
-    made = written(docs.select("doc_id", key.alias("rid"), "text").mapInArrow(scored, "doc_id long, rid long, n_tokens long, known long, base double, model double, missing array<binary>"), "scores")
+    made = written(docs.select("doc_id", key.alias("rid"), "text").mapInArrow(tidied(scored), "doc_id long, rid long, n_tokens long, known long, base double, model double, missing array<binary>"), "scores")
     other = made.where("size(missing) > 0").dropDuplicates(["rid"]).select("rid", F.explode("missing").alias("word"))
     added = other.join(counts, "word").groupBy("rid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("gain"))
     gain = F.coalesce("gain", F.lit(0.0))

@@ -4,7 +4,7 @@ import time
 
 import numpy as np
 
-from millrace.llm import linededup
+from millrace.llm import linededup, lm
 from millrace.llm.shared import CLEANUP, written
 
 
@@ -33,3 +33,10 @@ def test_sketches_of_lines_that_share_enough_agree():
         b = np.where(share < shared, a, rng.random((500, n), np.float32))
         part = (linededup.agreeing(linededup.sketches(a), linededup.sketches(b)) >= linededup.AGREE).mean()
         assert least <= part <= most, (shared, part)
+
+
+def test_words_are_counted_over_several_flushes(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FLUSH", 3)
+    df = spark.createDataFrame([(f"w{i} W{i % 7} v{i % 3}",) for i in range(40)] + [(None,)], "text string")
+    got = {bytes(r.word): r.c for r in lm.count_words(df).collect()}
+    assert got[lm.END] == 41 and sum(got.values()) == 161 and got[b"v0"] == 14 and got[b"w39"] == 1
