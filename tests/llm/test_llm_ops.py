@@ -478,6 +478,40 @@ def test_cells_together_equal_cells_alone(seed):
     assert found == [linededup.cell_links([c], 0.8)[0] for c in cells] and any(found)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_lines_of_any_lengths_go_on_together(seed):
+    r = random.Random(seed)
+    pairs, most = [], []
+    for n in [1, 63, 64, 65, 130, 200, 300] * 4:
+        a = "".join(r.choice("abcé ") for _ in range(n))
+        b = "".join(x for c in a for x in r.choices([c, "x", "", c + "y"], [1 - 0.15 * (seed % 6), 0.15, 0.15, 0.15])[0]) or "b"
+        a, b = sorted((a, b), key=len)
+        pairs.append((a, b))
+        most.append(len(b) - len(a) + r.randrange(len(b) // 2 + 1))
+    got = linededup.columns_at_once(pairs, np.array(most))
+    assert got.tolist() == [linededup.columns(b, a, m) for (a, b), m in zip(pairs, most, strict=True)]
+
+
+def test_unlike_lines_of_a_cell_are_compared_in_few_steps(monkeypatch):
+    steps, near = [], linededup.near
+    monkeypatch.setattr(linededup, "near", lambda pairs, most: steps.append(len(pairs)) or near(pairs, most))
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghijkl") for _ in range(7)) for _ in range(12)]
+    lines = [" ".join(r.sample(words, 12)) for _ in range(60)]  # all minima are shared
+    lines += [x.replace(words[0], "other") for x in lines[::3]]
+    keys = [[r.randrange(3), 5] for _ in lines]
+    for only in (None, 5):
+        steps.clear()
+        (links,) = linededup.cell_links([(lines, keys, only)], 0.8)
+        met = [(i, j) for j in range(len(lines)) for i in range(j) if only is None or keys[i][0] != keys[j][0]]
+        want, got = list(range(len(lines))), list(range(len(lines)))
+        for root, pairs in ((want, [p for p in met if linededup.similar(lines[p[0]], lines[p[1]])]), (got, links)):
+            for i, j in pairs:
+                i, j = root[i], root[j]
+                root[:] = [min(i, j) if x in (i, j) else x for x in root]
+        assert got == want and len(set(want)) > 20 and sum(steps) > 1000 and len(steps) <= 8
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_edit_distance_of_long_lines(monkeypatch, seed):
     monkeypatch.setattr(linededup, "PAUSE", 1 + seed % 5)
